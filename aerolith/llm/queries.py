@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import encode, mixing
+from aerolith.llm import encode, mixing, truncation
 from aerolith.sources.tables import table
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(table(spark, d, "messages"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "messages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -21,5 +29,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(counts, mixing.mix(counts, targets), targets)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
