@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.operators import once, shred
+from aerolith.operators import drift, once, shred
 from aerolith.sources.tables import table
 
 
@@ -29,7 +29,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return once.repeats(table(spark, d, "messages"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_waypoints": p2_waypoints, "p3_found": p3_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(drift.profiles(table(spark, d, "feed_records"))).drop("file_seq")
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "feed_records"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_waypoints": p2_waypoints, "p3_found": p3_found, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {
     "p3_found": """
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (
