@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.operators import drift, once, shred
+from aerolith.operators import drift, once, shred, spikes, stays
 from aerolith.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flagged(table(spark, d, "flight_updates"), table(spark, d, "messages"), table(spark, d, "aircraft"))
+
+
 def _nested(spark: SparkSession, d: str) -> DataFrame:
     wrappers = table(spark, d, "feed_records").where("record_kind = 'wrapper'").select(F.lit("feed_records").alias("owner"), F.col("record_id").alias("owner_id"), F.col("payload").alias("text"))
     parsed = table(spark, d, "messages").select(F.lit("messages").alias("owner"), F.col("delivery_id").alias("owner_id"), F.col("parsed_json").alias("text"))
@@ -37,7 +41,15 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "feed_records"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_waypoints": p2_waypoints, "p3_found": p3_found, "p4_found": p4_found, "p4_unified": p4_unified}
+def p6_stays(spark: SparkSession, d: str) -> DataFrame:
+    return stays.stays(table(spark, d, "flight_updates"), table(spark, d, "messages"), table(spark, d, "aircraft"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_stays(spark, d).select("icao_hex", "kind", "first_message_id", "last_message_id")
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_stays": p6_stays, "p2_found": p2_found, "p2_waypoints": p2_waypoints, "p3_found": p3_found, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {
     "p3_found": """
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (
