@@ -4,9 +4,10 @@ Readings outside BOUNDS are impossible in themselves. The others are put in time
 order per aircraft (blocks of bounded size with a halo, see `ordered`) and, field by
 field, decomposed by an undecimated lifting wavelet: the detail of a reading is its
 distance from the mean of its neighbours. The details' median absolute deviation is
-the noise of that aircraft and field. A spike is a reading with a detail of more than
-K noises that lies outside both neighbours by as much while these agree; the largest
-of adjacent ones is taken out and the details are computed anew, until none is left.
+the noise of that aircraft and field, the lesser of that over all and over local extremes, once in motion and once at rest. A spike is a
+reading with a detail of more than K noises that lies outside both neighbours by as
+much while these agree; the largest of adjacent ones is taken out and the details are
+computed anew, until none is left.
 Runs of zero first-level detail (equal readings) of RUN and more show sticking, if
 the aircraft moves on and the sensor doesn't report in steps as coarse as its noise.
 
@@ -27,19 +28,16 @@ from aerolith.operators.ordered import blocks
 from aerolith.operators.tracks import identified, tracks
 
 BOUNDS = {"altitude": (-1500.0, 60000.0), "ground_speed": (0.0, 1000.0), "latitude": (-90.0, 90.0), "longitude": (-180.0, 180.0)}
-K = 7.0
-FLOOR = {"altitude": 20.0, "ground_speed": 3.0, "latitude": 0.002, "longitude": 0.002}
-AWAY = 0.5  # degrees a position must be off at least
+K = {"altitude": 3.5, "ground_speed": 5.0}
+LEAST = {"altitude": 300.0, "ground_speed": 25.0}  # what a spike must be off at least
+AWAY = 0.5  # the same, in degrees, for positions
+MOVING = 60.0  # knots
 FASTEST = 800.0  # knots
 RUN = 7
 BLOCK, HALO = 20_000, 64
 HOUR = 3600.0
 
 
-def _outside(x: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return x - np.clip(x, np.minimum(p, n), np.maximum(p, n))
-
-
 def step_of(x: np.ndarray) -> float:
     """The coarsest step of which nine tenths of the values are multiples."""
     for step in (1000.0, 500.0, 250.0, 100.0, 50.0, 25.0, 20.0, 10.0, 5.0, 2.0):
@@ -48,13 +46,26 @@ def step_of(x: np.ndarray) -> float:
     return 1.0
 
 
-def noise_of(t: np.ndarray, x: np.ndarray) -> float:
-    """The robust scale of the details between neighbours less than an hour apart."""
+def noise_of(t: np.ndarray, x: np.ndarray, chosen: np.ndarray | None = None) -> float:
+    """The robust scale of the details, of the chosen readings if there are enough: over all, or over local extremes alone if that is less, as steady climbs have none."""
     if len(x) < 5:
         return 0.0
     near = t[2:] - t[:-2] < HOUR
-    detail = np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2)[near]
-    return float(1.4826 * np.median(detail)) if len(detail) else 0.0
+    if chosen is not None and (near & chosen[1:-1]).sum() >= 10:
+        near &= chosen[1:-1]
+    detail = np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2)
+    extreme = near & ((x[1:-1] - x[:-2]) * (x[1:-1] - x[2:]) > 0)
+    found = [1.4826 * float(np.median(detail[m])) for m in (near, extreme) if m.sum() >= (1 if m is near else 10)]
+    return min(found, default=0.0)
+
+
+def moving(gs: np.ndarray) -> np.ndarray:
+    """Whether the middle one of each three successive speeds, as far as known, is that of motion."""
+    known = np.where(np.isnan(gs), np.inf, gs)
+    three = np.sort(np.stack([np.concatenate([[np.inf], known[:-1]]), known, np.concatenate([known[1:], [np.inf]])]), axis=0)
+    n = np.isfinite(three).sum(axis=0)
+    middle = np.where(n >= 2, np.where(n == 3, three[1], np.where(np.isfinite(three[1]), (three[0] + np.where(np.isfinite(three[1]), three[1], 0.0)) / 2, 0.0)), np.where(n == 1, three[0], np.inf))
+    return middle > MOVING
 
 
 def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.ndarray, alt: np.ndarray) -> np.ndarray:
@@ -63,7 +74,10 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
     if len(x) < 3:
         return out
     place = field in ("latitude", "longitude")
-    scale = max(noise_of(t, x), FLOOR[field], 0.0 if place else step_of(x))
+    if not place:
+        fast = moving(gs)
+        scale = np.where(fast, noise_of(t, x, fast), noise_of(t, x, ~fast))
+        limit = np.maximum(np.maximum(K[field] * scale, LEAST[field]), 2 * step_of(x))
     for _ in range(8):
         left = np.flatnonzero(~out)
         if len(left) < 3:
@@ -71,7 +85,7 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
         y, s = x[left], t[left]
         p, v, n = y[:-2], y[1:-1], y[2:]
         before, after = np.maximum(s[1:-1] - s[:-2], 1.0), np.maximum(s[2:] - s[1:-1], 1.0)
-        off = np.abs(_outside(v, p, n))
+        off = np.abs(v - np.clip(v, np.minimum(p, n), np.maximum(p, n)))
         detail = np.abs(v - (p + n) / 2)
         apart = np.abs(p - n)
         at = left[1:-1]
@@ -81,21 +95,20 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
             impossible = np.maximum(knots(np.abs(v - p), before), knots(np.abs(v - n), after)) > FASTEST
             agree = (knots(apart, before + after) <= FASTEST) & (apart <= np.maximum(off, 0.05) * 2)
             still = (apart < 0.05) & (before + after < 2 * HOUR)
-            hit = (off > max(AWAY, K * FLOOR[field])) & agree & (impossible | still)
+            hit = (off > AWAY) & agree & (impossible | still)
         else:
             near = before + after < 1.5 * HOUR
-            agree = apart <= np.maximum(6 * scale, off / 3)
-            hit = (off > K * scale) & (detail > K * scale) & agree & near
+            agree = apart <= np.maximum(3 * scale[at], off / 3)
+            hit = (off > limit[at]) & (detail > limit[at]) & agree & near
             if hit.any():  # a landing between two reports lowers speed and altitude together
-                other, low = (gs, 60.0) if field == "altitude" else (alt, None)
-                o = other[left]
-                op, ov, on = o[:-2], o[1:-1], o[2:]
+                other = (gs if field == "altitude" else alt)[left]
+                op, ov, on = other[:-2], other[1:-1], other[2:]
                 with np.errstate(invalid="ignore"):
                     if field == "altitude":
-                        landing = (v < np.minimum(p, n)) & (ov < low) & (np.minimum(op, on) > 60.0)
+                        landing = (ov < MOVING) & (np.minimum(op, on) > MOVING)
                     else:
-                        landing = (v < np.minimum(p, n)) & (v < 60.0) & (np.minimum(op, on) - ov > 500.0)
-                hit &= ~landing
+                        landing = (v < MOVING) & (np.minimum(op, on) - ov > 500.0)
+                hit &= ~(landing & (v < np.minimum(p, n)))
         if not hit.any():
             break
         score = np.where(hit, off, 0.0)
