@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.operators import drift, once, shred, spikes, stays
+from aerolith.operators import drift, instants, once, shred, spikes, stays
 from aerolith.sources.tables import table
 
 
@@ -41,6 +41,10 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "feed_records"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return instants.instants(table(spark, d, "inbound_messages"), table(spark, d, "stations"), table(spark, d, "airports"))
+
+
 def p6_stays(spark: SparkSession, d: str) -> DataFrame:
     return stays.stays(table(spark, d, "flight_updates"), table(spark, d, "messages"), table(spark, d, "aircraft"))
 
@@ -49,7 +53,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_stays(spark, d).select("icao_hex", "kind", "first_message_id", "last_message_id")
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_stays": p6_stays, "p2_found": p2_found, "p2_waypoints": p2_waypoints, "p3_found": p3_found, "p4_found": p4_found, "p4_unified": p4_unified}
+QUERIES = {"p5_found": p5_found, "p1_found": p1_found, "p6_found": p6_found, "p6_stays": p6_stays, "p2_found": p2_found, "p2_waypoints": p2_waypoints, "p3_found": p3_found, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {
     "p3_found": """
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (
