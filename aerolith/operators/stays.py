@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from aerolith.operators.ordered import blocks, running_max
 from aerolith.operators.spikes import possible, wrong_reports
 from aerolith.operators.tracks import identified, tracks
+from aerolith.session import checkpoint_dir
 from aerolith.sources.tables import shuffle_width
 
 RADIUS = 3.0  # km
@@ -133,6 +134,7 @@ def stop_ranges(rows: DataFrame) -> DataFrame:
 
 def stays(updates: DataFrame, messages: DataFrame, register: DataFrame) -> DataFrame:
     """Stops and trips: icao_hex, kind, first_message_id, last_message_id, start_us, end_us, duration_s, distance_km, positions."""
+    checkpoint_dir(updates.sparkSession)
     track = tracks(identified(updates, register), messages)
     bad = wrong_reports(track).where("field_name IN ('latitude', 'longitude')").select("report").distinct()
     placed = track.where(possible("latitude") & possible("longitude")).join(bad, "report", "left_anti").select("report", "hex", "at", "latitude", "longitude")
@@ -144,13 +146,14 @@ def stays(updates: DataFrame, messages: DataFrame, register: DataFrame) -> DataF
         .withColumn("hop", distance(F.col("p_latitude"), F.col("p_longitude"), F.col("latitude"), F.col("longitude")))
         .withColumn("quiet", F.col("p_at").isNull() | (F.col("at") - F.col("p_at") > SILENCE))
         .select("report", "hex", "at", "latitude", "longitude", "rank", "block", "hop", "quiet")
+        .checkpoint()  # each running maximum reads its rows twice: without cuts the plan would double at each
     )
-    cut = running_max(steps, "hex", {"segment": F.when(F.col("quiet") | (F.col("hop") > RADIUS), F.col("rank"))})
+    cut = running_max(steps, "hex", {"segment": F.when(F.col("quiet") | (F.col("hop") > RADIUS), F.col("rank"))}).checkpoint()
     long = cut.groupBy("hex", "segment").agg((F.max("at") - F.min("at")).alias("span")).where(F.col("span") >= STAY).drop("span")
     stops = stop_ranges(cut.join(long, ["hex", "segment"], "left_semi"))
     # Stops neither overlap nor go back, so the greatest ends so far are those of the latest one.
     begins = cut.join(stops.withColumn("rank", F.col("first_rank")), ["hex", "rank"], "left")
-    inside = running_max(begins, "hex", {"begin": F.col("first_rank"), "until": F.col("last_rank")}).withColumn("stop", F.when(F.col("rank") <= F.col("until"), F.col("begin")))
+    inside = running_max(begins, "hex", {"begin": F.col("first_rank"), "until": F.col("last_rank")}).withColumn("stop", F.when(F.col("rank") <= F.col("until"), F.col("begin"))).select("report", "hex", "at", "rank", "block", "hop", "quiet", "stop").checkpoint()
     prior = running_max(inside, "hex", {"bound": F.when(F.col("quiet") | F.col("stop").isNotNull(), F.col("rank"))})
     # A trip is named by the last stop position or first position after a silence up to it.
     group = F.coalesce("stop", "bound")
