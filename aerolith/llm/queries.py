@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import encode, mixing, truncation
+from aerolith.llm import encode, mixing, quality, truncation
 from aerolith.sources.tables import table
 
 
@@ -29,5 +29,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(counts, mixing.mix(counts, targets), targets)
 
 
-QUERIES = {"p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
