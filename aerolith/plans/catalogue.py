@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.plans import problems
+from aerolith.plans import log, problems
 
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict = {**log.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**log.SQL, **problems.SQL}
