@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from aerolith.plans import log, problems
+from aerolith.plans import decode, log, problems
 
-QUERIES: dict = {**log.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**log.SQL, **problems.SQL}
+QUERIES: dict = {**log.QUERIES, **decode.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**log.SQL, **decode.SQL, **problems.SQL}
+
+
+def flagship(spark, sf_dir):
+    """Latest position and frequency of each squitter's side, decoded from text: ingest, quick check, pattern, coordinates, keyed fold."""
+    from pyspark.sql import functions as F
+
+    rows = decode.QUERIES["decode_sq"](spark, sf_dir)
+    order = F.struct("l_orderkey", "l_linenumber", "latitude", "longitude")
+    return rows.groupBy("icao_code").agg(F.count("*").alias("reports"), F.max_by(F.struct("latitude", "longitude", "freq_mhz"), order).alias("last")).select("icao_code", "reports", "last.*")
