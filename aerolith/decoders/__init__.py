@@ -1,0 +1,12 @@
+"""Message decoders and their registry."""
+
+from __future__ import annotations
+
+from aerolith.decoders import flight_plans, notes, reports
+
+EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS]
+
+
+def registry(which: str = "default"):
+    """The decoders in use: `default` leaves out those that are not registered by default, `all` has every one."""
+    return [d for d in EVERY if d.standard or which == "all"]
