@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.decoders import EVERY, registry
 from aerolith.decoders.engine import decode, dispatch
-from aerolith.decoders.reports import DECODERS
 from aerolith.sources.tables import table
 
-BY_NAME = {d.name: d for d in DECODERS}
+BY_NAME = {d.name: d for d in EVERY}
 # Numbers from the keys: degrees, minutes and tenths of a latitude, degrees and minutes of a longitude, sides, a level and an hour with minutes.
 KEYS = {
     "a": "l_orderkey % 90", "b": "l_partkey % 60", "c": "l_suppkey % 10", "e": "l_partkey % 180", "f": "l_orderkey % 60", "s": "l_linenumber % 2", "w": "l_suppkey % 2", "n": "100 + l_orderkey % 400", "h": "l_partkey % 24", "m": "l_orderkey % 60", "g": "100 + l_suppkey % 400",
@@ -103,6 +103,51 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
         {"established": "s = 0", "link_time": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0') || ':' || lpad(CAST(b AS VARCHAR), 2, '0')", "text": "'TEXT ' || n"},
     ),
     "decode_gate": ("gateassign", "RA", "'PLEASE NOTE\\nGATE ASSIGNMENT: B' || CAST(n AS STRING)", {"gate": "'B' || n"}),
+    "decode_fpn": (
+        "fpn", "H1", f"'FPN/SN' || CAST(n AS STRING) || '/FNAAL' || CAST(n AS STRING) || ':DA:KJFK:AA:KLAX:D:VUM' || c || '.GUKEB:A:VES7.VED:F:MERIT,N' || {D2('a')} || {D2('b')} || c || 'W' || {D3('e')} || {D2('f')} || c || '..DIXIE:AP:ILS' || {D2('h')} || 'L/ZE'",
+        {"flight_num": "'AAL' || n", "origin": "'KJFK'", "destination": "'KLAX'", "departure": "'VUM' || c", "departure_transition": "'GUKEB'", "arrival": "'VES7'", "arrival_transition": "'VED'", "approach_type": "'ILS'", "approach_runway": "lpad(CAST(h AS VARCHAR), 2, '0') || 'L'", "truncated": "CAST(NULL AS BOOLEAN)"},
+    ),
+    "decode_pwi": ("pwi", "H1", f"'PWI/TS' || {D2('h')} || {D2('m')} || '00,050625/CB' || {D3('g')} || {D3('n')} || '026/WD370,MERIT,270050,350M52.DIXIE,271051,350M53'", {"report_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || '00'"}),
+    "decode_trajectory": (
+        "trajectory", "H1", f"'++86501,N' || CAST(n AS STRING) || ',B7377,261125,WN' || {D4('g')} || ',KDAL,KHOU,' || CAST(g AS STRING) || ',TS-1\nN' || {D2('a')} || {D2('b')} || '.' || c || ',W' || {D3('e')} || {D2('f')} || '.' || c || ',120918,39000,-64.3,256,037,CL,00000,0,\n'",
+        {"registration": "'N' || n", "aircraft_type": "'B7377'", "flight_number": "'WN' || lpad(CAST(g AS VARCHAR), 4, '0')", "origin": "'KDAL'", "destination": "'KHOU'", "distance": "g", "system_id": "'TS-1'"},
+    ),
+    "decode_mdc": ("mdc", "H1", f"'MDC REPORT: FAULT HISTORY\nTIME: ' || {D2('h')} || ':' || {D2('m')} || '\nLEG: ' || CAST(n AS STRING) || '\nATA46-22 NAV SENSOR\n'", {"report_type": "'FAULT HISTORY'", "time": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')", "leg_number": "CAST(n AS VARCHAR)"}),
+    "decode_delay": (
+        "delay", "3E", f"'DELAY SUMMARY\nAY' || CAST(n AS STRING) || '/26NOV2025 HEL-CDG\nSTD ' || {D2('h')} || ':' || {D2('m')} || ' ATD 10:13 DEP DELAY ' || CAST(b AS STRING) || ' MIN\nARR DELAY ' || CAST(f AS STRING) || ' MIN\nDL93/' || CAST(b AS STRING) || 'MIN'",
+        {"flight_number": "'AY' || n", "flight_date": "'26NOV2025'", "origin": "'HEL'", "destination": "'CDG'", "std": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')", "atd": "'10:13'", "dep_delay_minutes": "b", "arr_delay_minutes": "f"},
+    ),
+    "decode_crew": ("crew", "RA", "'CREW LIST UA' || CAST(n AS STRING) || '/26 KSFO KLAX.\nCA SMITH JOHN \n U' || CAST(g AS STRING) || '\nFA MIN: ' || CAST(1 + c AS STRING)", {"flight_number": "'UA' || n", "flight_date": "'26'", "origin": "'KSFO'", "destination": "'KLAX'", "min_crew": "1 + c"}),
+    "decode_dispatch": (
+        "dispatch", "RA", "'DISPATCHER MSG\nASA' || CAST(n AS STRING) || ' N' || CAST(g AS STRING) || 'AS\n' || CASE WHEN s = 0 THEN 'MIN TO FUEL' ELSE 'SIGMET A' || c END",
+        {"flight_number": "'ASA' || n", "tail": "'N' || g || 'AS'", "ack_required": "false", "category": "CASE WHEN s = 0 THEN 'FUEL' ELSE 'SIGMET' END", "mel_ref": "CAST(NULL AS VARCHAR)"},
+    ),
+    "decode_fuel": (
+        "fuel", "3E", "'FUEL DELIVERY AY' || CAST(n AS STRING) || ' OH-LVA 26.11.2025 DEST: LHR AMOUNT: ' || CAST(n * 10 AS STRING) || ' LTRS DENSITY: ' || CAST(g AS STRING) || ' KG/M3 QTY BEFORE (KG): ' || CAST(n AS STRING) || ' KG'",
+        {"flight_number": "'AY' || n", "tail": "'OH-LVA'", "date": "'26.11.2025'", "destination": "'LHR'", "amount_litres": "n * 10", "density_kg_m3": "g", "qty_before_kg": "n"},
+    ),
+    "decode_hazard": (
+        "hazard", "H1", f"'HAZARD ALERT FOR KFE' || CAST(n AS STRING) || ' F' || c || ': LMML-LSGG (' || {D2('h')} || {D2('m')} || 'Z ETD) ' || CASE WHEN s = 0 THEN 'EDR TURBULENCE IS 0.5 EDR' ELSE 'WARNING: WINDS IS ' || CAST(g AS STRING) END",
+        {"callsign": "'KFE' || n", "flight_id": "'F' || c", "origin": "'LMML'", "destination": "'LSGG'", "etd": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z'", "alert_level": "CASE WHEN s = 0 THEN 'CRITICAL' ELSE 'WARNING' END", "wind_warning": "CASE WHEN s = 1 THEN g || ' knots' END"},
+    ),
+    "decode_parking": ("parking", "1E", "'PKG INFO MSG ESCALE CDG PARKING AVION: K' || CAST(n AS STRING) || ' TAPIS A BAGAGES : ' || CAST(g AS STRING) || 'E'", {"airport": "'CDG'", "parking_stand": "'K' || n", "baggage_carousel": "g || 'E'"}),
+    "decode_paxbag": (
+        "paxbag", "RA", f"'PAX AND BAG DETAILS\nAY' || CAST(n AS STRING) || ' 26NOV HEL STD' || {D2('h')} || {D2('m')} || ' BOARD 0930 GATE ' || CAST(g AS STRING) || '\nTOTAL PASSENGERS ' || CAST(n AS STRING) || ' PLUS INFANTS ' || c || CASE WHEN s = 0 THEN ' NOT FINALISED' ELSE '' END",
+        {"flight_number": "'AY' || n", "origin": "'HEL'", "std": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0')", "gate": "CAST(g AS VARCHAR)", "total_pax": "n", "infants": "nullif(c, 0)", "is_finalised": "s = 1"},
+    ),
+    "decode_paxconn": (
+        "paxconn", "3E", f"'PAX CONN STATUS\nAB' || CAST(n AS STRING) || ' 26112025 10:00 LHR\nPENDING Y ' || CAST(b AS STRING) || ' 3\n' || repeat('-', 32) || '\nAB124 26112025 11:00 CDG\nWILLWAIT Y ' || CAST(f AS STRING) || ' 1'",
+        {"missed_count": "0", "pending_count": "b", "will_wait_count": "f", "total_connecting": "b + f"},
+    ),
+    "decode_takeoff": ("takeoff", "RA", "'TAKEOFF DATA GTOW / CG PAX\n ' || CAST(g AS STRING) || '.3/25.1 ' || CAST(n AS STRING) || '\nT/O KPDX 10R'", {"gtow": "g + 0.3::DOUBLE", "cg": "25.1::DOUBLE", "pax": "n"}),
+    "decode_landing": (
+        "landingdata", "C1", f"'LANDING DATA DEN RW ' || {D2('h')} || 'L ' || CAST(g * 10 AS STRING) || ' FT TEMP M' || {D2('b')} || 'C ALT 30.01 WIND ' || {D3('n')} || '/12 MAG'",
+        {"airport": "'DEN'", "runway": "lpad(CAST(h AS VARCHAR), 2, '0') || 'L'", "runway_length": "g * 10", "temperature": "nullif(-b, 0)", "altimeter": "30.01::DOUBLE", "wind": "lpad(CAST(n AS VARCHAR), 3, '0') || '/12'"},
+    ),
+    "decode_turbulence": (
+        "turbulence", "C1", f"'TURB ADVISORY ID: ' || CAST(n AS STRING) || ' \nSEVERITY: MOD\nALT: FL' || {D3('g')} || '-FL' || {D3('n')} || '\nVALID: 26' || {D2('h')} || {D2('m')} || 'Z-261600Z'",
+        {"id": "CAST(n AS VARCHAR)", "severity": "'MOD'", "altitude_low": "'FL' || g", "altitude_hi": "'FL' || n", "valid_from": "'26' || lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z'", "valid_to": "'261600Z'"},
+    ),
 }
 
 
@@ -130,11 +175,11 @@ def _sql(name: str) -> str:
 
 
 def dispatch_all(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch(table(spark, d, "messages"), DECODERS)
+    return dispatch(table(spark, d, "messages"), registry("all"))
 
 
 def dispatch_first(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch(table(spark, d, "messages"), DECODERS, first=True)
+    return dispatch(table(spark, d, "messages"), registry(), first=True)
 
 
 QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first}
