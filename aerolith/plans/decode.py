@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.decoders import EVERY, registry
+from aerolith.decoders.binary import decode_binary
 from aerolith.decoders.engine import decode, dispatch
 from aerolith.sources.tables import table
 
@@ -182,5 +183,33 @@ def dispatch_first(spark: SparkSession, d: str) -> DataFrame:
     return dispatch(table(spark, d, "messages"), registry(), first=True)
 
 
-QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first}
-SQL = {n: _sql(n) for n in SPECS}
+def _surveillance(spark: SparkSession, d: str) -> DataFrame:
+    """Basic surveillance reports with their checksum, written from the keys."""
+    from aerolith.functions.crc import crc16, hex_bytes, text_bytes
+
+    keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in KEYS.items()])
+    field = lambda e, width: F.lpad(F.bin(F.expr(e)), width, "0")
+    plain = F.concat(field("a * 5000", 21), field("e * 5000", 21), field("g * 50", 16), field("n * 8", 15), F.lit("0001011"))
+    digits = F.concat(F.lit("07"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lpad(F.conv(F.substr(plain, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
+    head = F.lit("ADS.G-ZBKO")
+    check = F.lpad(F.hex(crc16(F.concat(text_bytes(head), hex_bytes(digits))).bitwiseXOR(0xFFFF)), 4, "0")
+    key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return keys.select(key.alias("delivery_id"), F.lit("B6").alias("label"), F.concat(F.lit("/QUKAXBA."), head, digits, check).alias("raw_text"))
+
+
+def decode_adsc(spark: SparkSession, d: str) -> DataFrame:
+    shape = "registration string, ground_station string, message_type string, latitude double, longitude double, altitude bigint, report_time_sec double, accuracy bigint, nav_redundancy boolean"
+    rows = decode_binary(_surveillance(spark, d), "adsc").select("delivery_id", F.from_json("result", shape).alias("r")).select("delivery_id", "r.*")
+    return rows.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+
+
+def decode_envelope(spark: SparkSession, d: str) -> DataFrame:
+    return decode_binary(table(spark, d, "messages"), "envelope")
+
+
+QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope}
+SQL = {n: _sql(n) for n in SPECS} | {
+    "decode_adsc": f"""SELECT l_orderkey || '/' || l_linenumber AS delivery_id, 'G-ZBKO' AS registration, 'QUKAXBA' AS ground_station, 'basic' AS message_type, round((180 - 90 / 524288.0::DOUBLE) * a * 5000 / 1048575.0::DOUBLE, 6) AS latitude,
+round((180 - 90 / 524288.0::DOUBLE) * e * 5000 / 1048575.0::DOUBLE, 6) AS longitude, g * 100 AS altitude, n * 8 * 0.125::DOUBLE AS report_time_sec, 5 AS accuracy, true AS nav_redundancy
+FROM (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({e} AS BIGINT) AS {n}' for n, e in KEYS.items())} FROM lineitem)"""
+}
