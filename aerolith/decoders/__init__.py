@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from aerolith.decoders import flight_plans, notes, reports
+from aerolith.decoders import flight_plans, notes, reports, weather
 
-EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS]
+EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS, *weather.DECODERS]
 
 
 def registry(which: str = "default"):
