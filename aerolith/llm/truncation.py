@@ -172,7 +172,7 @@ def decided(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame
                 names,
             )
 
-    rows = base.mapInArrow(last, "delivery_id bigint, id bigint, source string, kind string, length bigint, sound boolean, c2 string, c1 string, word string, closed boolean")
+    rows = base.mapInArrow(last, "delivery_id bigint, id bigint, source string, kind string, length bigint, sound boolean, c2 string, c1 string, word string, closed boolean").checkpoint()  # read for the decisions and for both statistics
 
     whole = (F.col("stop") >= STOP).alias("whole")
     first = _stops(counts, ["c2", "c1"], _prefixes).where(F.col("total") >= SEEN).select("kind", "c2", "c1", "word", "ends", "stop", whole)
