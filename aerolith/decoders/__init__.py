@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from aerolith.decoders import flight_plans, notes, reports, weather
+from aerolith.decoders import flight_plans, loadsheets, notes, reports, weather
 
-EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS, *weather.DECODERS]
+EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS, *weather.DECODERS, *loadsheets.DECODERS]
 
 
 def registry(which: str = "default"):

@@ -156,10 +156,11 @@ class Decoder:
     build: Callable[[Column], Column]
     standard: bool = True
     upper: bool = True
+    by_label: bool = False  # whether `build` takes the label as well
 
     def column(self, text: Column, label: Column) -> Column:
         raw = F.trim(text, F.lit(" \t\r\n"))
-        return F.when(label.isin(*self.labels) & F.coalesce(text != "", F.lit(False)) & self.quick(text), self.build(F.upper(raw) if self.upper else raw))
+        return F.when(label.isin(*self.labels) & F.coalesce(text != "", F.lit(False)) & self.quick(text), self.build(*((F.upper(raw) if self.upper else raw,) + ((label,) if self.by_label else ()))))
 
 
 def decode(messages: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("delivery_id",), text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
