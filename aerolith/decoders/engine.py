@@ -73,16 +73,16 @@ class Format:
         return to_java(re.sub(r"\{([A-Z_0-9]+)\}", lambda m: known.get(m[1], m[0]), self.pattern))
 
     def matches(self, text: Column) -> Column:
-        return text.rlike(self.java()[0])
+        return text.rlike(self.java()[0]) & ~text.contains(CUT)
 
-    def captures(self, text: Column, build: Callable[[Callable[[str], Column]], Column]) -> Column:
-        """What `build` makes of the captures (a function from a name to '' or the capture); null where there is no match."""
+    def captures(self, text: Column, build: Callable[[Callable[[str], Column]], Column], sure: bool = False) -> Column:
+        """What `build` makes of the captures (a function from a name to '' or the capture); null where there is no match, unless that is sure."""
         pattern, names = self.java()
         body = pattern.removeprefix("(?d)")
         marks = CUT.join(f"${i + 1}" for i in range(len(names)))
         groups = F.split(F.regexp_replace(text, rf"(?d)(?s:\A.*?)(?:{body})(?s:.*\z)", marks), CUT, -1)
-        bound = bind(groups, lambda g: build(lambda name: F.coalesce(F.get(g, F.lit(names.index(name))), F.lit(""))))
-        return F.when(text.rlike(pattern) & ~text.contains(CUT), bound)
+        bound = bind(groups, lambda g: build(lambda name: F.get(g, F.lit(names.index(name)))))
+        return bound if sure else F.when(self.matches(text), bound)
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -94,7 +94,7 @@ def first_of(text: Column, formats: list[tuple[Format, Callable]]) -> Column:
     """The result of the first format that matches, whatever it makes of the text."""
     out = None
     for form, build in formats:
-        out = (F.when if out is None else out.when)(form.matches(text), form.captures(text, build))
+        out = (F.when if out is None else out.when)(form.matches(text), form.captures(text, build, sure=True))
     return out
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, Format, number, text_of, whole
+from aerolith.decoders.engine import Decoder, Format, bind, number, text_of, whole
 
 COMMON = ("C1", "RA", "H1", "30", "31", "2A", "22", "35", "45", "13", "42")
 FIELDS = ("status", "time", "edition", "flight", "origin", "destination", "tail", "crew", "zfw", "zfw_max", "tof", "tow", "tow_max", "tif", "law", "law_max", "pax_total", "mac_zfw", "mac_tow")
@@ -132,13 +132,13 @@ def _sheet(text: Column, label: Column) -> Column:
                 F.lit(name).alias("format_name"), at("status").alias("status"), at("tail").alias("tail"), F.replace(at("flight"), F.lit(" "), F.lit("")).alias("flight"), at("origin").alias("origin"), at("destination").alias("destination"),
                 *[c.alias(n) for n, c in weights.items()], F.nullif(whole(at("pax_total")), F.lit(0).cast("bigint")).alias("pax"), at("crew").alias("crew"), at("mac_zfw").alias("mac_zfw"), at("mac_tow").alias("mac_tow"), at("edition").alias("edition"),
             )
-            return F.when(s["zfw"].isNotNull() | s["tow"].isNotNull(), s)
+            return bind(s, lambda r: F.when(r["zfw"].isNotNull() | r["tow"].isNotNull(), r))
 
         there = label.isin(*labels)
         for w in words(anchors):
             there = there & t.contains(w)
         here = there & form.matches(t)
-        out = (F.when if out is None else out.when)(here, form.captures(t, made))
+        out = (F.when if out is None else out.when)(here, form.captures(t, made, sure=True))
     return out
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, number, text_of, to_java, whole
+from aerolith.decoders.engine import Decoder, bind, number, text_of, to_java, whole
 
 
 def find(t: Column, pattern: str, group: int = 1) -> Column:
@@ -37,7 +37,16 @@ def find_all(t: Column, pattern: str, groups: int, build: Callable[..., Column])
 def record(*needed: str, **fields: Column) -> Column:
     """A struct, kept if one of the needed fields is there."""
     made = F.struct(*[c.alias(n) for n, c in fields.items()])
-    return F.when(F.coalesce(*[F.nullif(fields[n].isNotNull(), F.lit(False)) for n in needed], F.lit(False)), made) if needed else made
+    if not needed:
+        return made
+
+    def kept(m: Column) -> Column:
+        some = m[needed[0]].isNotNull()
+        for n in needed[1:]:
+            some = some | m[n].isNotNull()
+        return F.when(some, m)
+
+    return bind(made, kept)
 
 
 def _delay(t: Column) -> Column:

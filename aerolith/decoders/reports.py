@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from aerolith.decoders.engine import Decoder, Format, bind, count_of, decimal, degrees, first_of, number, signed, text_of, whole
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(repr(x) for pair in pairs.items() for x in pair)})")
+
+
 def _struct(**fields: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def _somewhere(s: Column) -> Column:
     """The record unless it lies at 0, 0, which stands for an unread position."""
-    return F.when((s["latitude"] != 0) | (s["longitude"] != 0), s)
+    return bind(s, lambda r: F.when((r["latitude"] != 0) | (r["longitude"] != 0), r))
 
 
 def _begins(*heads: str):
@@ -242,14 +246,14 @@ def _oceanic(t: Column) -> Column:
     made = _struct(
         flight_num=flight, destination=_one(t, r"CLRD TO (?P<x>\w{4})"), oceanic_fixes=F.when(F.size(fixes) > 0, fixes), flight_level=F.concat(F.lit("FL"), level), mach=F.concat(F.lit("M"), mach)
     )
-    return F.when(made["destination"].isNotNull() | made["oceanic_fixes"].isNotNull(), made)
+    return bind(made, lambda r: F.when(r["destination"].isNotNull() | r["oceanic_fixes"].isNotNull(), r))
 
 
 def _gate_info(t: Column) -> Column:
     main = Format("gate_info", r"(?P<flight>[A-Z0-9]+)-(?P<origin>{ICAO})-GATE\s+(?P<gate>\S+)-(?P<dest>{ICAO})")
     part = lambda n: main.captures(t, lambda g: text_of(g(n)))
     made = _struct(flight_num=part("flight"), origin=part("origin"), destination=part("dest"), gate=part("gate"), atis=_one(t, r"ATIS\s+(?P<x>{ATIS})"), aircraft_type=_one(t, r"-TYP/(?P<x>[A-Z0-9]+)"))
-    return F.when(F.coalesce(made["flight_num"], made["gate"], made["atis"]).isNotNull(), made)
+    return bind(made, lambda r: F.when(F.coalesce(r["flight_num"], r["gate"], r["atis"]).isNotNull(), r))
 
 
 # Four-letter codes of airports by their three-letter codes.
@@ -265,7 +269,7 @@ AIRPORTS = {
 
 
 def _icao(c: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in AIRPORTS.items() for x in pair]), c)
+    return F.element_at(_map(AIRPORTS), c)
 
 
 LABELRF = [
@@ -414,7 +418,7 @@ LINKS = {"V": "VHF ACARS", "S": "Default SATCOM", "H": "HF", "G": "Global Star S
 
 
 def _media(g) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in LINKS.items() for x in pair])
+    known = _map(LINKS)
     link = lambda c: F.struct(c.alias("code"), F.element_at(known, c).alias("description"))
     t = g("time")
     part = lambda a: F.substring(t, a, 2)
@@ -430,7 +434,7 @@ MEDIA = [(Format("media_advisory_v0", r"^0(?P<state>[EL])(?P<current_link>[VSHGC
 def _gate(**fields: str):
     def made(g) -> Column:
         s = _struct(**{n: text_of(F.trim(g(fields[n]))) if n in fields else F.lit(None).cast("string") for n in ("gate", "ppos", "bag_belt", "next_flight", "next_route")})
-        return F.when(F.coalesce(s["gate"], s["ppos"], s["next_flight"]).isNotNull(), s)
+        return bind(s, lambda r: F.when(F.coalesce(r["gate"], r["ppos"], r["next_flight"]).isNotNull(), r))
 
     return made
 

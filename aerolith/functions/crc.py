@@ -20,7 +20,7 @@ def _table() -> list[int]:
 
 def crc16(data: Column, start: Column | int = START) -> Column:
     """The checksum of an ASCII text or of bytes given as hexadecimal pairs by `hex_pairs`."""
-    table = F.array(*[F.lit(x) for x in _table()])
+    table = F.expr(f"array({', '.join(map(str, _table()))})")
     step = lambda crc, byte: F.shiftleft(crc, 8).bitwiseAND(0xFFFF).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(byte).bitwiseAND(255)))
     return F.aggregate(data, F.lit(start).cast("int") if isinstance(start, int) else start, step)
 
