@@ -172,13 +172,12 @@ def decode(messages: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("deli
 def dispatch(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), first: bool = False, text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
     """Every record that any decoder makes of a message, in order of priority and name, in one pass over the log."""
     ordered = sorted(decoders, key=lambda x: (x.priority, x.name))
-    made = F.array(
-        *[
-            F.when(c.isNotNull(), F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("parser"), F.lit(d.kind).alias("result_type"), F.to_json(c).alias("result")))
-            for i, d in enumerate(ordered)
-            for c in [d.column(F.col(text_col), F.col(label_col))]
-        ]
-    )
-    some = F.array_compact(made)
-    rows = messages.select(*keep, F.slice(some, 1, 1).alias("r") if first else some.alias("r")).where(F.size("r") > 0)
-    return rows.select(*keep, F.explode("r").alias("r")).select(*keep, "r.*")
+
+    def tagged(i: int, d: Decoder) -> Column:
+        record = d.column(F.col(text_col), F.col(label_col))
+        return bind(record, lambda r: F.when(r.isNotNull(), F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("parser"), F.lit(d.kind).alias("result_type"), F.to_json(r).alias("result"))))
+
+    some = F.array_compact(F.array(*[tagged(i, d) for i, d in enumerate(ordered)]))
+    # The outer form keeps the optimizer from copying the whole array into a filter on its size.
+    rows = messages.select(*keep, F.explode_outer(F.slice(some, 1, 1) if first else some).alias("r"))
+    return rows.where("r IS NOT NULL").select(*keep, "r.*")
