@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerolith.operators import folds, routes, search, stats
+from aerolith.operators import extract, folds, routes, search, stats
 from aerolith.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,3 +308,56 @@ def native_session_window(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def window_tumbling_daily(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+_J = "CASE WHEN json_valid(parsed_json) THEN parsed_json END"
+
+
+def _text_sql(*keys: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(j, '$.{k}') = 'VARCHAR' THEN nullif(json_extract_string(j, '$.{k}'), '') END" for k in keys) + ")"
+
+
+def _number_sql(key: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{key}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract_string(j, '$.{key}') AS DOUBLE) END"
+
+
+def _whole_sql(key: str) -> str:
+    return f"nullif(CAST(trunc({_number_sql(key)}) AS BIGINT), 0)"
+
+
+def _airport_sql(key: str) -> str:
+    words = ", ".join(f"'{w}'" for w in extract.NOT_AIRPORTS)
+    return f"CASE WHEN regexp_full_match({_text_sql(key)}, '[A-Z]{{4}}') AND {_text_sql(key)} NOT IN ({words}) THEN {_text_sql(key)} END"
+
+
+_PREFIX = "regexp_extract(trim(f), '^[^0-9]*')"
+_FLIGHT = f"CASE WHEN f IS NULL THEN NULL ELSE {_PREFIX} || CASE WHEN regexp_matches(trim(f), '[0-9]') THEN (CASE WHEN regexp_full_match(substr(trim(f), length({_PREFIX}) + 1), '0+') THEN '0' ELSE ltrim(substr(trim(f), length({_PREFIX}) + 1), '0') END) ELSE '' END END"
+UPDATES = f"""SELECT delivery_id, id, coalesce(nullif(tail, ''), {_text_sql('tail')}, {_text_sql('registration')}) AS registration, {_FLIGHT} AS flight_number, coalesce({_airport_sql('origin_icao')}, {_airport_sql('origin')}) AS origin,
+coalesce({_airport_sql('dest_icao')}, {_airport_sql('destination')}) AS destination, CASE WHEN la IS NOT NULL AND lo IS NOT NULL THEN CASE WHEN la <> 0 OR lo <> 0 THEN la END WHEN lo IS NULL AND la <> 0 THEN la END AS latitude,
+CASE WHEN la IS NOT NULL AND lo IS NOT NULL THEN CASE WHEN la <> 0 OR lo <> 0 THEN lo END WHEN la IS NULL AND lo <> 0 THEN lo END AS longitude, coalesce({_whole_sql('flight_level')} * 100, {_whole_sql('altitude')}) AS altitude,
+{_whole_sql('ground_speed')} AS ground_speed, coalesce({_whole_sql('track')}, {_whole_sql('heading')}) AS track, coalesce({_text_sql('aircraft_type')}, {_text_sql('aircraft_icao')}) AS type_code
+FROM (SELECT *, {_text_sql('flight_num', 'flight_number', 'callsign')} AS f, {_number_sql('latitude')} AS la, {_number_sql('longitude')} AS lo FROM (SELECT *, {_J} AS j FROM messages) WHERE j IS NOT NULL)"""
+
+
+@query(f"SELECT * FROM ({UPDATES}) WHERE registration IS NOT NULL")
+def extract_flight_updates(spark, d):
+    return extract.flight_updates(_log(spark, d))
+
+
+@query(
+    """SELECT delivery_id, json_extract_string(w, '$.name') AS name, CAST(json_extract_string(w, '$.latitude') AS DOUBLE) AS latitude, CAST(json_extract_string(w, '$.longitude') AS DOUBLE) AS longitude
+FROM (SELECT delivery_id, unnest(json_extract(parsed_json, '$.waypoints[*]')) AS w FROM messages WHERE json_valid(parsed_json) AND contains(parsed_json, '"waypoints":['))
+WHERE json_extract_string(w, '$.name') <> '' AND CAST(json_extract_string(w, '$.latitude') AS DOUBLE) <> 0 AND CAST(json_extract_string(w, '$.longitude') AS DOUBLE) <> 0"""
+)
+def extract_waypoints(spark, d):
+    return extract.waypoint_updates(_log(spark, d))
+
+
+@query(
+    f"""WITH u AS (SELECT u.*, CAST(m."timestamp" AS DATE) AS flight_date FROM ({UPDATES}) u JOIN messages m ON u.delivery_id = m.delivery_id)
+SELECT registration, flight_number, flight_date, arg_max(origin, CASE WHEN origin IS NOT NULL THEN delivery_id END) AS origin, arg_max(destination, CASE WHEN destination IS NOT NULL THEN delivery_id END) AS destination, count(*) AS observations
+FROM u WHERE registration <> '' AND flight_number <> '' AND flight_date IS NOT NULL GROUP BY 1, 2, 3"""
+)
+def extract_enrichment(spark, d):
+    log = _log(spark, d)
+    return extract.enrichment(extract.flight_updates(log), log.select("delivery_id", "timestamp"))
