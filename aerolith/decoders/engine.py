@@ -160,12 +160,13 @@ class Decoder:
 
     def column(self, text: Column, label: Column) -> Column:
         raw = F.trim(text, F.lit(" \t\r\n"))
-        return F.when(label.isin(*self.labels) & F.coalesce(text != "", F.lit(False)) & self.quick(text), self.build(*((F.upper(raw) if self.upper else raw,) + ((label,) if self.by_label else ()))))
+        there = F.coalesce(text != "", F.lit(False)) & self.quick(text)  # without labels, a decoder looks at every message
+        return F.when(label.isin(*self.labels) & there if self.labels else there, self.build(*((F.upper(raw) if self.upper else raw,) + ((label,) if self.by_label else ()))))
 
 
 def decode(messages: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("delivery_id",), text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
     """The typed records of one decoder; the label filter reaches the scan."""
-    rows = messages.where(F.col(label_col).isin(*decoder.labels))
+    rows = messages.where(F.col(label_col).isin(*decoder.labels)) if decoder.labels else messages
     return rows.select(*keep, decoder.column(F.col(text_col), F.col(label_col)).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
 
 
