@@ -149,6 +149,18 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
         "turbulence", "C1", f"'TURB ADVISORY ID: ' || CAST(n AS STRING) || ' \nSEVERITY: MOD\nALT: FL' || {D3('g')} || '-FL' || {D3('n')} || '\nVALID: 26' || {D2('h')} || {D2('m')} || 'Z-261600Z'",
         {"id": "CAST(n AS VARCHAR)", "severity": "'MOD'", "altitude_low": "'FL' || g", "altitude_hi": "'FL' || n", "valid_from": "'26' || lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z'", "valid_to": "'261600Z'"},
     ),
+    "decode_pdc": (
+        "pdc", "RA", f"'PDC ' || CAST(100000 + n AS STRING) || '\nJST' || CAST(n AS STRING) || ' A320 YSSY ' || {D2('h')} || {D2('m')} || '\nCLEARED TO YMML VIA\n16L ABBEY' || c || ' DEP WOL:TRAN\nROUTE: DCT WOL H65 RAZZI Q29 BOOIN DCT\nCLIMB VIA SID TO: 5000\nDEP FREQ: 123.' || {D3('n')} || '\nSQUAWK 36' || lpad(conv(CAST(f AS STRING), 10, 8), 2, '0')",
+        {"flight_number": "'JST' || n", "origin": "'YSSY'", "destination": "'YMML'", "departure_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0')", "runway": "'16L'", "sid": "'ABBEY' || c", "departure_freq": "'123.' || n", "initial_altitude": "'5000'", "route": "'DCT WOL H65 RAZZI Q29 BOOIN DCT'", "squawk": "'36' || (f // 8) || (f % 8)", "pdc_format": "'australian'"},
+    ),
+    "decode_loadsheet": (
+        "loadsheet", "C1", f"'LOADSHEET FINAL ' || {D2('h')} || {D2('m')} || ' EDNO' || c || '\nLX' || CAST(n AS STRING) || '/26 26NOV25\nZRH LHR HB-JCA 2/4\nZFW ' || CAST(39000 + n AS STRING) || ' MAX 50000\nTOF ' || CAST(g * 10 AS STRING) || '\nTOW ' || CAST(44000 + n AS STRING) || ' MAX 60000\n' || CASE WHEN s = 0 THEN 'TIF 2000\nLAW 42554 MAX 52000\nPAX/10/55 TTL ' || CAST(n AS STRING) ELSE '' END",
+        {"format_name": "CASE WHEN s = 0 THEN 'standard_kg' ELSE 'standard_kg_minimal' END", "status": "'FINAL'", "flight": "'LX' || n", "tail": "'HB-JCA'", "crew": "'2/4'", "edition": "CAST(c AS VARCHAR)", "zfw": "39000 + n", "zfw_max": "50000", "tof": "g * 10", "tow": "44000 + n", "tif": "CASE WHEN s = 0 THEN 2000 END", "law": "CASE WHEN s = 0 THEN 42554 END", "pax": "CASE WHEN s = 0 THEN n END"},
+    ),
+    "decode_atis": (
+        "atis", "A9", f"'/HKGATYA.TI2/VHHH ARR ATIS G\n' || {D2('h')} || {D2('m')} || 'Z WIND ' || {D3('n')} || '/10KT VIS 10KM CLD FEW 2000FT T ' || CASE WHEN s = 0 THEN 'MS ' ELSE '' END || {D2('c')} || ' DP 20 QNH ' || CAST(1000 + c AS STRING) || 'HPA RWY 07C ILS APCH.'",
+        {"airport": "'VHHH'", "atis_letter": "'G'", "atis_type": "'ARR'", "atis_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z'", "wind": "n || '/10KT'", "visibility": "'10KM'", "temperature": "CASE WHEN s = 0 THEN '-' ELSE '' END || lpad(CAST(c AS VARCHAR), 2, '0')", "dew_point": "'20'", "qnh": "CAST(1000 + c AS VARCHAR)"},
+    ),
 }
 
 
@@ -203,12 +215,23 @@ def decode_adsc(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
 
 
+def decode_weather(spark: SparkSession, d: str) -> DataFrame:
+    """Observations written from the keys, one row a report."""
+    text = f"'METAR KDEN 26' || {D2('h')} || {D2('m')} || 'Z ' || {D3('n')} || {D2('b')} || CASE WHEN s = 0 THEN 'MPS' ELSE 'KT' END || ' 10SM FEW080 M' || {D2('c')} || '/M12 A3001=\\nEGLL 261250Z 24004KT 9999 SCT030 10/08 Q10' || {D2('b')} || '='"
+    rows = decode(written(spark, d, text, "C1"), BY_NAME["weather"], keep=("l_orderkey", "l_linenumber"))
+    return rows.select("l_orderkey", "l_linenumber", F.explode("metars").alias("m")).select("l_orderkey", "l_linenumber", *[F.col(f"m.{c}").alias(c) for c in ("airport", "time", "wind_dir", "wind_speed", "visibility", "clouds", "temperature", "qnh")])
+
+
 def decode_envelope(spark: SparkSession, d: str) -> DataFrame:
     return decode_binary(table(spark, d, "messages"), "envelope")
 
 
-QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope}
+QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather}
+_KEYS_SQL = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in KEYS.items())
 SQL = {n: _sql(n) for n in SPECS} | {
+    "decode_weather": f"""WITH k AS (SELECT l_orderkey, l_linenumber, {_KEYS_SQL} FROM lineitem)
+SELECT l_orderkey, l_linenumber, 'KDEN' AS airport, '26' || lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z' AS time, n AS wind_dir, nullif(CASE WHEN s = 0 THEN CAST(floor(b * 1.944::DOUBLE) AS BIGINT) ELSE b END, 0) AS wind_speed, '10SM' AS visibility,
+'FEW080' AS clouds, nullif(-c, 0) AS temperature, CAST(1016 AS BIGINT) AS qnh FROM k UNION ALL SELECT l_orderkey, l_linenumber, 'EGLL', '261250Z', 240, 4, '9999', 'SCT030', 10, 1000 + b FROM k""",
     "decode_adsc": f"""SELECT l_orderkey || '/' || l_linenumber AS delivery_id, 'G-ZBKO' AS registration, 'QUKAXBA' AS ground_station, 'basic' AS message_type, round((180 - 90 / 524288.0::DOUBLE) * a * 5000 / 1048575.0::DOUBLE, 6) AS latitude,
 round((180 - 90 / 524288.0::DOUBLE) * e * 5000 / 1048575.0::DOUBLE, 6) AS longitude, g * 100 AS altitude, n * 8 * 0.125::DOUBLE AS report_time_sec, 5 AS accuracy, true AS nav_redundancy
 FROM (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({e} AS BIGINT) AS {n}' for n, e in KEYS.items())} FROM lineitem)"""
