@@ -101,22 +101,39 @@ def first_of(text: Column, formats: list[tuple[Format, Callable]]) -> Column:
 # Values
 
 
+# Each reads its argument once: nested conditions would run an expensive extract again and again.
+
+
 def text_of(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return bind(c, lambda x: F.when(x != "", x))
+
+
+def unless_zero(c: Column) -> Column:
+    return bind(c, lambda x: F.when(x != 0, x))
 
 
 def whole(c: Column) -> Column:
     """A plain integer without blanks; anything else is null."""
-    return F.when(c.rlike(r"\A[+-]?[0-9]{1,18}\z"), c.try_cast("bigint"))
+    return F.regexp_extract(c, r"\A([+-]?[0-9]{1,18})\z", 1).try_cast("bigint")
 
 
 def count_of(c: Column) -> Column:
     """An integer field that is left out where it is 0."""
-    return F.nullif(whole(c), F.lit(0).cast("bigint"))
+    return F.regexp_extract(c, r"\A([+-]?0*[1-9][0-9]{0,17})\z", 1).try_cast("bigint")
 
 
 def number(c: Column) -> Column:
-    return F.when(c.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), c.try_cast("double"))
+    return F.regexp_extract(c, r"\A([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))\z", 1).try_cast("double")
+
+
+def groups_of(text: Column, pattern: str, build: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """What `build` makes of the groups (a function from a number to the group or null) of the first match, found once."""
+    java = to_java(pattern)[0]
+    body = java.removeprefix("(?d)")
+    n = re.compile(re.sub(r"\(\?>", "(?:", body).replace(r"\z", r"\Z")).groups
+    marks = CUT.join(f"${i + 1}" for i in range(n + 1))  # group 1 is the whole match
+    found = F.when(text.rlike(java) & ~text.contains(CUT), F.split(F.regexp_replace(text, rf"(?d)(?s:\A.*?)({body})(?s:.*\z)", marks), CUT, -1))
+    return bind(found, lambda g: build(lambda i: F.nullif(F.get(g, F.lit(i)), F.lit(""))))
 
 
 def signed(value: Column, side: Column) -> Column:
@@ -167,7 +184,8 @@ class Decoder:
 def decode(messages: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("delivery_id",), text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
     """The typed records of one decoder; the label filter reaches the scan."""
     rows = messages.where(F.col(label_col).isin(*decoder.labels)) if decoder.labels else messages
-    return rows.select(*keep, decoder.column(F.col(text_col), F.col(label_col)).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
+    # A generated column keeps the optimizer from decoding once to filter and again to project.
+    return rows.select(*keep, F.explode_outer(F.array(decoder.column(F.col(text_col), F.col(label_col)))).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
 
 
 def dispatch(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), first: bool = False, text_col: str = "raw_text", label_col: str = "label") -> DataFrame:

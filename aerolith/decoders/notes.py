@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, bind, number, text_of, to_java, whole
+from aerolith.decoders.engine import Decoder, bind, count_of, number, text_of, to_java, unless_zero, whole
 
 
 def find(t: Column, pattern: str, group: int = 1) -> Column:
@@ -19,11 +19,11 @@ def find(t: Column, pattern: str, group: int = 1) -> Column:
 
 
 def find_int(t: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(whole(F.regexp_replace(find(t, pattern, group), r"\A\+", "")), F.lit(0).cast("bigint"))
+    return count_of(F.regexp_extract(t, to_java(pattern)[0], group))
 
 
 def find_number(t: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(number(find(t, pattern, group)), F.lit(0.0))
+    return unless_zero(number(F.regexp_extract(t, to_java(pattern)[0], group)))
 
 
 def find_all(t: Column, pattern: str, groups: int, build: Callable[..., Column]) -> Column:

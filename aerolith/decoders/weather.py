@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, text_of, to_java, whole
+from aerolith.decoders.engine import Decoder, bind, count_of, groups_of, text_of, to_java, unless_zero, whole
 from aerolith.decoders.notes import find, find_all, record
 
 REMARKS = (
@@ -39,28 +39,33 @@ def _atis(t: Column) -> Column:
 
 
 
-def _positive(c: Column) -> Column:
-    return F.nullif(whole(c), F.lit(0).cast("bigint"))
-
-
 def _celsius(c: Column) -> Column:
-    return F.nullif(F.when(c.startswith("M"), -whole(F.substring(c, 2, 5))).otherwise(whole(c)), F.lit(0).cast("bigint"))
+    return count_of(F.regexp_replace(c, r"\AM", "-"))
 
 
 def _metar(whole_text: Column, airport: Column, time: Column, body: Column) -> Column:
-    wind = r"\b(\d{3}|VRB)(\d{2,3})(?:G(\d{2,3}))?(KT|MPS)\b"
-    metric = find(body, wind, 4) == "MPS"
-    speed = lambda g: F.when(metric, F.floor(whole(find(body, wind, g)) * 1.944)).otherwise(whole(find(body, wind, g)))
-    sight = r"\b(\d{4})\b|\b(\d+)SM\b"
-    qnh = whole(find(body, r"\b([QA])(\d{4})\b", 2))
-    clouds = F.regexp_extract_all(body, F.lit(r"\b((?:FEW|SCT|BKN|OVC)\d{3}(?:CB|TCU)?\b|(?:CAVOK|NCD|NSC|SKC|CLR)\b)"), 1)
-    zero = F.lit(0).cast("bigint")
-    return F.struct(
-        airport.alias("airport"), time.alias("time"), text_of(F.regexp_extract(body, wind, 0)).alias("wind"), _positive(F.nullif(find(body, wind), F.lit("VRB"))).alias("wind_dir"), F.nullif(speed(2), zero).alias("wind_speed"),
-        F.nullif(speed(3), zero).alias("wind_gust"), F.coalesce(find(body, sight), F.concat(find(body, sight, 2), F.lit("SM"))).alias("visibility"), text_of(F.array_join(clouds, " ")).alias("clouds"),
-        _celsius(find(body, r"\b(M?\d{2})/(M?\d{2})\b")).alias("temperature"), _celsius(find(body, r"\b(M?\d{2})/(M?\d{2})\b", 2)).alias("dew_point"),
-        F.when(find(body, r"\b([QA])(\d{4})\b") == "A", F.floor(qnh * 0.338639)).otherwise(qnh).alias("qnh"), F.trim(whole_text, F.lit(BLANK)).alias("raw"),
-    )
+    def made(wind: Column) -> Column:
+        def speed(i: int) -> Column:
+            knots = whole(wind[i])
+            return unless_zero(F.when(wind[4] == "MPS", F.floor(knots * 1.944)).otherwise(knots))
+
+        def rest(sight: Column, temp: Column, qnh: Column) -> Column:
+            hecto = whole(qnh[2])
+            return F.struct(
+                airport.alias("airport"), time.alias("time"), wind[0].alias("wind"), count_of(wind[1]).alias("wind_dir"), speed(2).alias("wind_speed"), speed(3).alias("wind_gust"), F.coalesce(sight[1], F.concat(sight[2], F.lit("SM"))).alias("visibility"),
+                text_of(F.array_join(F.regexp_extract_all(body, F.lit(r"\b((?:FEW|SCT|BKN|OVC)\d{3}(?:CB|TCU)?\b|(?:CAVOK|NCD|NSC|SKC|CLR)\b)"), 1), " ")).alias("clouds"), _celsius(temp[1]).alias("temperature"),
+                _celsius(temp[2]).alias("dew_point"), F.when(qnh[1] == "A", F.floor(hecto * 0.338639)).otherwise(hecto).alias("qnh"), F.trim(whole_text, F.lit(BLANK)).alias("raw"),
+            )
+
+        parts = F.struct(_parts(body, r"\b(\d{4})\b|\b(\d+)SM\b").alias("s"), _parts(body, r"\b(M?\d{2})/(M?\d{2})\b").alias("t"), _parts(body, r"\b([QA])(\d{4})\b").alias("q"))
+        return bind(parts, lambda p: rest(p["s"], p["t"], p["q"]))
+
+    return bind(_parts(body, r"\b(\d{3}|VRB)(\d{2,3})(?:G(\d{2,3}))?(KT|MPS)\b"), made)
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The first match and its groups as an array of five, empty ones null, all null where there is no match."""
+    return F.coalesce(groups_of(text, pattern, lambda g: F.array(*[g(i) for i in range(5)])), F.expr("array_repeat(CAST(NULL AS STRING), 5)"))
 
 
 def _sigmet(raw: Column, id_: Column, start: Column, end: Column, office: Column, fir: Column, name: Column, body: Column) -> Column:

@@ -4,8 +4,10 @@ import json
 
 import pytest
 
+from aerolith.decoders import binary, registry
 from aerolith.decoders.engine import Format, dispatch, to_java
-from aerolith.decoders.reports import DECODERS
+
+DECODERS = registry("all")
 
 CASES = [
     ("SQ", "02XAORDKORD04158N08754WV136975/ARINC", "sq", {"iata_code": "ORD", "icao_code": "KORD", "latitude": 41.966667, "longitude": -87.9, "freq_mhz": 136.975}),
@@ -18,6 +20,24 @@ CASES = [
     ("83", "001PR29182901N5106.0W11400.4035000", "label83", {"day_of_month": 29, "latitude": 51.1, "longitude": -114.006667, "altitude": 35000}),
     ("5Z", "/ET EXP TIME       / KSNA KIAH 29 182901/EON 1908 AUTO", "eta", {"origin": "KSNA", "destination": "KIAH", "day_of_month": 29, "report_time": "182901", "eta": "1908", "mode": "AUTO"}),
     ("RA", "GATE ASSIGNMENT: B12", "gateassign", {"gate": "B12"}),
+    ("H1", "FPN/SN123/FNAAL92:DA:KJFK:AA:KLAX:F:MERIT..DIXIE..WHALE", "fpn", {"flight_num": "AAL92", "origin": "KJFK", "destination": "KLAX", "waypoints": [{"name": "MERIT"}, {"name": "DIXIE"}, {"name": "WHALE"}]}),
+    ("H1", "FPN/SN1/FNJST12:DA:YSSY:AA:YMML:F:GUKEB,N33490E034050..DURAN:AP:ILS16L/ZE", "fpn", {"waypoints": [{"name": "GUKEB", "latitude": pytest.approx(33.816667, abs=1e-6), "longitude": pytest.approx(34.083333, abs=1e-6)}, {"name": "DURAN"}], "approach_type": "ILS", "approach_runway": "16L"}),
+    ("H1", "#M1BFPN/FNJST12:DA:YSSY:AA:YMML:F:GUKEB", "fpn", {"truncated": True}),
+    ("H1", "PWI/TS193835,050625/CB100275026.050205038/WD370,MERIT,270050,350M52.DIXIE,271051,350M53", "pwi", {"report_time": "193835", "climb_winds": [{"flight_level": 100, "wind_dir": 275, "wind_speed": 26}, {"flight_level": 50, "wind_dir": 205, "wind_speed": 38}]}),
+    ("H1", "++86501,N8747Q,B7377,261125,WN0057,KDAL,KHOU,1234,TS-1\nN3702.1,W09921.8,120918,39000,-64.3,256,037,CL,00000,0,\n", "trajectory", {"registration": "N8747Q", "distance": 1234}),
+    ("H1", "MDC REPORT: ENGINE TREND\r\nL N1 80.0 %\nR N1 80.1 %\nL ITT 706 C\n", "mdc", {"engine_trend": {"left_n1": 80.0, "right_n1": 80.1, "left_itt": 706}}),
+    ("3E", "DELAY SUMMARY\nAY1366/26NOV2025 HEL-CDG\nSTD 10:00 DEP DELAY 13 MIN\nARR DELAY 20 MIN\nDL93/11MIN DL81/2MIN", "delay", {"dep_delay_minutes": 13, "arr_delay_minutes": 20, "delay_codes": [{"code": "DL93", "minutes": 11}, {"code": "DL81", "minutes": 2}]}),
+    ("3E", "FUEL DELIVERY AY571 OH-LVA 26.11.2025 AMOUNT: 6805 LTRS DENSITY: 807 KG/M3 QTY BEFORE (KG): 2900 KG", "fuel", {"amount_litres": 6805, "density_kg_m3": 807, "qty_before_kg": 2900}),
+    ("H1", "HAZARD ALERT FOR KFE300 F1: LMML-LSGG EDR TURBULENCE IS 0.5 EDR", "hazard", {"callsign": "KFE300", "edr": 0.5, "alert_level": "CRITICAL", "origin": "LMML"}),
+    ("1E", "PKG INFO MSG ESCALE CDG PARKING AVION: K64 TAPIS A BAGAGES : 330E69", "parking", {"parking_stand": "K64", "baggage_carousel": "330E69"}),
+    ("3E", "PAX CONN STATUS\nAB123 26112025 10:00 LHR\nPENDING Y 2 3\n--------------------------------\nAB124 26112025 11:00 CDG\nWILLWAIT Y 5 1", "paxconn", {"pending_count": 2, "will_wait_count": 5, "total_connecting": 7}),
+    ("RA", "TAKEOFF DATA GTOW / CG PAX\n 409.3/25.1 226\nLENGTH KPDX SHIFT\n11000 10R 0\nV1 130", "takeoff", {"gtow": 409.3, "cg": 25.1, "pax": 226}),
+    ("RA", "DISPATCHER MSG\nASA849 N123AS\nMIN TO FUEL 12", "dispatch", {"flight_number": "ASA849", "category": "FUEL", "ack_required": False}),
+    ("A9", "/HKGATYA.TI2/VHHH ARR ATIS G\n0730Z WIND 090/10KT QNH 1015HPA RWY 07C RWY 07R RWY 07C", "atis", {"airport": "VHHH", "atis_letter": "G", "qnh": "1015", "runways": ["07C", "07R"]}),
+    ("C1", "LOADSHEET FINAL 1230 EDNO1\nLX123/26 26NOV25\nZRH LHR HB-JCA 2/4\nZFW 39754 MAX 50000\nTOF 4800\nTOW 44554 MAX 60000\nLAW 42554 MAX 52000\nPAX/10/55 TTL 65", "loadsheet", {"format_name": "standard_kg", "zfw": 39754, "tow": 44554, "pax": 65}),
+    ("C1", "FINAL LOADSHEET\nREGO: VH-OQA\nFLIGHT: QF11\nQF11 26NOV SYD A380 4/20\nZFW 150.6\nTOF 50.1 TOW 200.7\nTIF 40.0 LAW 160.7", "loadsheet", {"format_name": "qantas_tonnes", "zfw": 150600}),
+    ("XX", "PDC 010626\nJST501 A320 YSSY 0630\nCLEARED TO YMML VIA\n16L ABBEY3 DEP WOL:TRAN\nROUTE: DCT WOL H65 RAZZI Q29 BOOIN DCT\nCLIMB VIA SID TO: 5000\nDEP FREQ: 123.000\nSQUAWK 3670", "pdc", {"pdc_format": "australian", "flight_number": "JST501", "origin": "YSSY", "destination": "YMML", "runway": "16L", "sid": "ABBEY3", "squawk": "3670", "route": "DCT WOL H65 RAZZI Q29 BOOIN DCT", "route_waypoints": ["WOL", "RAZZI", "BOOIN"]}),
+    ("XX", "/GVADCXA.DC1/CLD 1412 251226 LSZH PDC 054\nEIN34Y CLRD TO EIDW OFF 28 VIA VEBIT4W\nSQUAWK 3041 ADT MDI NEXT FREQ 121.925 ATIS D", "pdc", {"pdc_format": "dc1_clearance", "flight_number": "EIN34Y", "runway": "28", "sid": "VEBIT4W", "squawk": "3041", "atis": "D"}),
 ]
 
 
@@ -30,7 +50,7 @@ def test_known_records(spark):
             assert record[name] == (pytest.approx(value, abs=1e-6) if isinstance(value, float) else value), (parser, name)
 
 
-@pytest.mark.parametrize("label, text", [("SQ", "00XS"), ("SQ", None), ("SQ", ""), ("16", "143139,25634"), ("SA", "0LS2559482"), ("99", "02XAORDKORD04158N08754WV136975"), ("B2", "NOTHING HERE")])
+@pytest.mark.parametrize("label, text", [("SQ", "00XS"), ("SQ", None), ("SQ", ""), ("16", "143139,25634"), ("SA", "0LS2559482"), ("99", "02XAORDKORD04158N08754WV136975"), ("B2", "NOTHING HERE"), ("C1", "LOADSHEET FINAL"), ("RA", "NO PDC ON FILE"), ("H1", "FPN/:DA:KJ:AA:KLAX")])
 def test_no_record(spark, label, text):
     rows = spark.createDataFrame([(1, label, text)], "delivery_id long, label string, raw_text string")
     assert dispatch(rows, DECODERS).count() == 0
@@ -49,3 +69,18 @@ def test_long_text_ends_in_time(spark):
 
 def test_first_format_wins():
     assert Format("x", "{ICAO}").java()[0].endswith("[A-Z]{3}")
+
+
+def test_binary_records():
+    found = binary.surveillance("/QUKAXBA.ADS.G-ZBKO072495A7EE7786F6A4D21F7A5D")
+    assert found["message_type"] == "basic" and found["altitude"] == 14260 and found["latitude"] == pytest.approx(51.447, abs=1e-3) and found["longitude"] == pytest.approx(-3.082, abs=1e-3)
+    assert binary.surveillance("/QUKAXBA.ADS.G-ZBKO072495A7EE7786F6A4D21F7A5E") is None and binary.surveillance("x.ADS.") is None
+    assert binary.envelope("/YEGE2YA.ADS.HL838207020BCA0C010D010F0110012AA9")["altitude"] == "FL202"
+    assert binary.envelope("/PIKCPYA.AT1.F-GSQC214823E24092E7")["tail"] == "F-GSQC"
+    for raw, value in ((0, 0.0), (0x080000, 90.0), (0x180000, -90.0), (0x0FFFFF, 180.0)):
+        assert binary.scaled((raw << 3).to_bytes(3, "big"), 0, 21, 180.0) == pytest.approx(value, abs=1e-3)
+
+
+def test_long_adverse_texts(spark):
+    rows = spark.createDataFrame([(1, "C1", "LOADSHEET FINAL 1230 " + "AB12/26 26NOV25\nZRH LHR HBJCA 2/4\nZFW 1 MAX 2 TOW " * 600), (2, "3S", "LOADSHEET FINAL 001 1230 " + "ZFW 1 TOW " * 3000), (3, "RA", "PDC 1 " + "CLEARED TO YMML VIA " * 2000)], "delivery_id long, label string, raw_text string")
+    assert dispatch(rows, DECODERS).count() == 0
