@@ -174,6 +174,7 @@ class Decoder:
     standard: bool = True
     upper: bool = True
     by_label: bool = False  # whether `build` takes the label as well
+    formats: tuple[Format, ...] = ()  # for the explanation of a decode
 
     def column(self, text: Column, label: Column) -> Column:
         raw = F.trim(text, F.lit(" \t\r\n"))
@@ -200,3 +201,22 @@ def dispatch(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...]
     # The outer form keeps the optimizer from copying the whole array into a filter on its size.
     rows = messages.select(*keep, F.explode_outer(F.slice(some, 1, 1) if first else some).alias("r"))
     return rows.where("r IS NOT NULL").select(*keep, "r.*")
+
+
+def explain(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
+    """Why a message was decoded or not: for each decoder of its label the quick check, and for each declared format whether it matches and its captures."""
+    text = F.col(text_col)
+    raw = F.trim(text, F.lit(" \t\r\n"))
+
+    def format_trace(form: Format, t: Column) -> Column:
+        names = form.java()[1]
+        captured = form.captures(t, lambda g: F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[g(n) for n in names])) if names else F.expr("CAST(map() AS MAP<STRING, STRING>)"))
+        return F.struct(F.lit(form.name).alias("format"), form.matches(t).alias("matched"), F.lit(form.java()[0]).alias("pattern"), captured.alias("captures"))
+
+    traces = []
+    for d in sorted(decoders, key=lambda x: (x.priority, x.name)):
+        t = F.upper(raw) if d.upper else raw
+        formats = F.array(*[format_trace(f, t) for f in d.formats]) if d.formats else F.expr("CAST(array() AS ARRAY<STRUCT<format: STRING, matched: BOOLEAN, pattern: STRING, captures: MAP<STRING, STRING>>>)")
+        trace = F.struct(F.lit(d.name).alias("parser"), F.coalesce(d.quick(text), F.lit(False)).alias("quick_check"), formats.alias("formats"))
+        traces.append(F.when(F.col(label_col).isin(*d.labels), trace) if d.labels else trace)
+    return messages.select(*keep, F.explode_outer(F.array_compact(F.array(*traces))).alias("t")).where("t IS NOT NULL").select(*keep, "t.*")

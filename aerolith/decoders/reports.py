@@ -453,28 +453,32 @@ def _first(formats):
     return lambda t: first_of(t, formats)
 
 
+def _formats(rows) -> tuple[Format, ...]:
+    return tuple(form for form, _ in rows)
+
+
 def _always(t: Column) -> Column:
     return F.lit(True)
 
 
 DECODERS = [
-    Decoder("sq", "sq_position", ("SQ",), 100, _begins("02X", "02J"), _first(SQ)),
-    Decoder("label10", "label10_position", ("10",), 100, _begins("/N", "/S"), _first(LABEL10)),
-    Decoder("label16", "waypoint_position", ("16",), 100, _always, _first(LABEL16)),
-    Decoder("label21", "position_report", ("21",), 100, _holds("POSN"), _first(LABEL21)),
-    Decoder("label22", "label22_position", ("22",), 100, _holds("N ", "S "), _first(LABEL22)),
+    Decoder("sq", "sq_position", ("SQ",), 100, _begins("02X", "02J"), _first(SQ), formats=_formats(SQ)),
+    Decoder("label10", "label10_position", ("10",), 100, _begins("/N", "/S"), _first(LABEL10), formats=_formats(LABEL10)),
+    Decoder("label16", "waypoint_position", ("16",), 100, _always, _first(LABEL16), formats=_formats(LABEL16)),
+    Decoder("label21", "position_report", ("21",), 100, _holds("POSN"), _first(LABEL21), formats=_formats(LABEL21)),
+    Decoder("label22", "label22_position", ("22",), 100, _holds("N ", "S "), _first(LABEL22), formats=_formats(LABEL22)),
     Decoder("label4j", "pos_weather", ("4J",), 100, _begins("POS"), _label4j),
     Decoder("label5l", "route", ("5L",), 100, _holds(","), lambda t: first_of(F.substring_index(t, "\n", 1), LABEL5L)),
     Decoder("label80", "position", ("80",), 100, _always, _label80),
-    Decoder("label83", "label83_position", ("83",), 100, _holds("PR", "ZSPD"), _first(LABEL83)),
+    Decoder("label83", "label83_position", ("83",), 100, _holds("PR", "ZSPD"), _first(LABEL83), formats=_formats(LABEL83)),
     Decoder("labelb2", "oceanic_clearance", ("B2",), 100, _always, _oceanic),
     Decoder("labelb3", "gate_info", ("B3",), 100, _always, _gate_info),
-    Decoder("labelrf", "flight_subscription", ("RF",), 100, _holds("FDASUB", "FDACOM", "FSTREQ"), _first(LABELRF)),
-    Decoder("agfsr", "agfsr", ("4T",), 100, _holds("AGFSR"), _first(AGFSR)),
+    Decoder("labelrf", "flight_subscription", ("RF",), 100, _holds("FDASUB", "FDACOM", "FSTREQ"), _first(LABELRF), formats=_formats(LABELRF)),
+    Decoder("agfsr", "agfsr", ("4T",), 100, _holds("AGFSR"), _first(AGFSR), formats=_formats(AGFSR)),
     Decoder("fst", "fst", ("15",), 100, _holds("FST"), _fst),
-    Decoder("eta", "eta", ("5Z",), 100, _holds("/ET ", "/IR ", "/B6 ", "/OS ", "/C3 "), _first(ETA)),
+    Decoder("eta", "eta", ("5Z",), 100, _holds("/ET ", "/IR ", "/B6 ", "/OS ", "/C3 "), _first(ETA), formats=_formats(ETA)),
     Decoder("h2wind", "h2_wind", ("H2",), 100, lambda t: t.startswith("02A") & (F.length(t) > 40), _h2),
-    Decoder("h1pos", "h1_position", ("H1",), 20, lambda t: t.startswith("POS") & ~t.startswith("POS/"), _first(H1POS)),
-    Decoder("mediaadv", "media_advisory", ("SA",), 100, lambda t: (F.length(t) >= 10) & t.startswith("0"), _first(MEDIA)),
-    Decoder("gateassign", "gate_assignment", ("RA",), 60, lambda t: F.upper(t).contains("GATE ASSIGNMENT") | (F.upper(t).contains("GATE") & F.upper(t).contains("ASSIGNED")), _first(GATE)),
+    Decoder("h1pos", "h1_position", ("H1",), 20, lambda t: t.startswith("POS") & ~t.startswith("POS/"), _first(H1POS), formats=_formats(H1POS)),
+    Decoder("mediaadv", "media_advisory", ("SA",), 100, lambda t: (F.length(t) >= 10) & t.startswith("0"), _first(MEDIA), formats=_formats(MEDIA)),
+    Decoder("gateassign", "gate_assignment", ("RA",), 60, lambda t: F.upper(t).contains("GATE ASSIGNMENT") | (F.upper(t).contains("GATE") & F.upper(t).contains("ASSIGNED")), _first(GATE), formats=_formats(GATE)),
 ]

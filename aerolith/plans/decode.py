@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from aerolith.decoders import EVERY, registry
 from aerolith.decoders.binary import decode_binary
-from aerolith.decoders.engine import decode, dispatch
+from aerolith.decoders.engine import decode, dispatch, explain
+from aerolith.sources.ingest import reparse_diff
 from aerolith.sources.tables import table
 
 BY_NAME = {d.name: d for d in EVERY}
@@ -226,7 +227,21 @@ def decode_envelope(spark: SparkSession, d: str) -> DataFrame:
     return decode_binary(table(spark, d, "messages"), "envelope")
 
 
-QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather}
+def dispatch_explain(spark: SparkSession, d: str) -> DataFrame:
+    """For each decoder and format, how many of its messages pass the quick check and match."""
+    rows = explain(table(spark, d, "messages"), [x for x in registry("all") if x.formats]).select("parser", "quick_check", F.explode("formats").alias("f"))
+    return rows.groupBy("parser", F.col("f.format").alias("format")).agg(F.count("*").alias("messages"), F.count_if("quick_check").alias("passed"), F.count_if("f.matched").alias("matched"))
+
+
+def reparse_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The stored parse types against those of the decoders here."""
+    log = table(spark, d, "messages")
+    stored = log.where("parser_type <> ''").select("delivery_id", F.col("parser_type").alias("result_type"), F.lit("").alias("result"))
+    fresh = dispatch(log, registry("all")).select("delivery_id", "result_type", F.lit("").alias("result"))
+    return reparse_diff(stored, fresh).groupBy("result_type", "change").agg(F.count("*").alias("n"))
+
+
+QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather, "dispatch_explain": dispatch_explain, "reparse_changes": reparse_changes}
 _KEYS_SQL = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in KEYS.items())
 SQL = {n: _sql(n) for n in SPECS} | {
     "decode_weather": f"""WITH k AS (SELECT l_orderkey, l_linenumber, {_KEYS_SQL} FROM lineitem)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.operators import extract, folds, routes, search, stats
+from aerolith.sources import ingest
 from aerolith.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,3 +362,22 @@ FROM u WHERE registration <> '' AND flight_number <> '' AND flight_date IS NOT N
 def extract_enrichment(spark, d):
     log = _log(spark, d)
     return extract.enrichment(extract.flight_updates(log), log.select("delivery_id", "timestamp"))
+
+
+@query(
+    """WITH w AS (SELECT record_id, payload AS p FROM feed_records WHERE record_kind = 'wrapper' AND json_valid(payload) AND json_type(payload, '$.message') = 'OBJECT')
+SELECT record_id, CASE WHEN regexp_full_match(json_extract_string(p, '$.message.id'), '[+-]?[0-9]{1,19}') THEN CAST(json_extract_string(p, '$.message.id') AS BIGINT) ELSE 0 END AS id, json_extract_string(p, '$.source.name') AS source,
+json_extract_string(p, '$.message.timestamp') AS timestamp, coalesce(nullif(json_extract_string(p, '$.message.tail'), ''), json_extract_string(p, '$.airframe.tail')) AS tail, json_extract_string(p, '$.message.text') AS text, json_extract_string(p, '$.message.label') AS label FROM w"""
+)
+def ingest_wrapped(spark, d):
+    rows = table(spark, d, "feed_records").where("record_kind = 'wrapper'")
+    return ingest.wrapped_messages(rows, "payload", ("record_id",)).drop("frequency", "block_id", "link_direction")
+
+
+@query(
+    """SELECT record_id, CASE WHEN regexp_full_match(json_extract_string(payload, '$.id'), '[+-]?[0-9]{1,19}') THEN CAST(json_extract_string(payload, '$.id') AS BIGINT) ELSE 0 END AS id, json_extract_string(payload, '$.timestamp') AS timestamp,
+nullif(json_extract_string(payload, '$.tail'), '') AS tail, json_extract_string(payload, '$.label') AS label FROM feed_records WHERE record_kind = 'log' AND json_valid(payload)"""
+)
+def ingest_flat(spark, d):
+    rows = table(spark, d, "feed_records").where("record_kind = 'log'")
+    return ingest.flat_messages(rows, "payload", ("record_id",)).select("record_id", "id", "timestamp", "tail", "label")
