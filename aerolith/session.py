@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +24,9 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    made = builder.getOrCreate()
+    ship(made)
+    return made
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,3 +37,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # already read from an archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="aerolith-"), "aerolith.zip")  # served by the driver
+    with zipfile.ZipFile(archive, "w") as made:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    made.write(path, os.path.join("aerolith", os.path.relpath(path, root)))
+    context.addPyFile(archive)
