@@ -199,7 +199,7 @@ LABEL80 = {
 
 
 def _label80(t: Column) -> Column:
-    one = lambda name: Format(name, LABEL80[name]).captures(t, lambda g: text_of(g("x")))
+    one = lambda name: _one(t, LABEL80[name])
     place = Format("position", LABEL80["position"]).captures(t, lambda g: F.struct(decimal(g("lat"), g("lat_dir")).alias("lat"), decimal(g("lon"), g("lon_dir")).alias("lon")))
     zero = F.lit(0.0)
     return Format("header", LABEL80["header"]).captures(
@@ -236,7 +236,7 @@ LABEL83 = [
 
 
 def _one(t: Column, pattern: str) -> Column:
-    return Format("part", pattern).captures(t, lambda g: text_of(g("x")))
+    return text_of(F.regexp_extract(t, Format("part", pattern).java()[0], 1))
 
 
 def _oceanic(t: Column) -> Column:

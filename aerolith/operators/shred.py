@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.sources.tables import spread
+
 MAX_PATHS = 100_000
 GLUE = "\x01"  # between the keys of a schema path, as keys may hold dots
 
@@ -136,6 +138,7 @@ def _prefixes(paths: DataFrame) -> DataFrame:
 def nodes(records: DataFrame, id_col: str, text_col: str, owner_col: str, attributes: bool = True) -> DataFrame:
     """One row an object: owner, owner_id, label, parent_label, schema_path, node_path, is_empty and, if asked for, attributes (its own scalars and arrays of scalars, as JSON)."""
     records = records.select(F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{id_col}`").cast("bigint").alias("owner_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    records = spread(records)
     known = _prefixes(schema_paths(records, "text", "owner"))
 
     def own(value: dict) -> str:

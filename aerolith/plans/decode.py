@@ -13,7 +13,7 @@ from aerolith.decoders import EVERY, registry
 from aerolith.decoders.binary import decode_binary
 from aerolith.decoders.engine import decode, dispatch, explain
 from aerolith.sources.ingest import reparse_diff
-from aerolith.sources.tables import table
+from aerolith.sources.tables import spread, table
 
 BY_NAME = {d.name: d for d in EVERY}
 # Numbers from the keys: degrees, minutes and tenths of a latitude, degrees and minutes of a longitude, sides, a level and an hour with minutes.
@@ -167,7 +167,7 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
 
 def written(spark: SparkSession, d: str, text: str, label: str) -> DataFrame:
     keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in KEYS.items()])
-    return keys.select("l_orderkey", "l_linenumber", F.lit(label).alias("label"), F.expr(text).alias("raw_text"))
+    return spread(keys).select("l_orderkey", "l_linenumber", F.lit(label).alias("label"), F.expr(text).alias("raw_text"))
 
 
 def _query(name: str):
@@ -189,11 +189,11 @@ def _sql(name: str) -> str:
 
 
 def dispatch_all(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch(table(spark, d, "messages"), registry("all"))
+    return dispatch(spread(table(spark, d, "messages").select("delivery_id", "label", "raw_text")), registry("all"))
 
 
 def dispatch_first(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch(table(spark, d, "messages"), registry("all"), first=True)
+    return dispatch(spread(table(spark, d, "messages").select("delivery_id", "label", "raw_text")), registry("all"), first=True)
 
 
 def _surveillance(spark: SparkSession, d: str) -> DataFrame:

@@ -20,3 +20,9 @@ def micros(column: str) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores, for work that is heavy beside its input; tables that fill the cores already stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
