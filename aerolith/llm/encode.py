@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.sources.tables import spread
+
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 # The pre-token pattern of byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 ids = own.encode_all(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", id_col)
+    return spread(narrow).mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", id_col)
 
 
 def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", model: bytes | None = None) -> DataFrame:
@@ -167,7 +169,7 @@ def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", model
                 n = pa.array([len(x) for x in own.encode_all(part.column(part.num_columns - 1).to_pylist())], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n], [*keep, "n_tokens"])
 
-    return narrow.mapInArrow(run, f"{schema}, n_tokens bigint")
+    return spread(narrow).mapInArrow(run, f"{schema}, n_tokens bigint")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: bytes | None = None) -> DataFrame:

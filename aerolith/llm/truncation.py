@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.sources.tables import spread
+
 STOP = 0.15
 REGULAR = 0.5
 SEEN = 10  # a context with fewer occurrences backs off
@@ -153,7 +155,7 @@ def decided(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame
     from aerolith.session import checkpoint_dir
 
     checkpoint_dir(spark)
-    base = _base(messages, columns)
+    base = spread(_base(messages, columns))
     counts = _trie(base).checkpoint()  # used by each level
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
