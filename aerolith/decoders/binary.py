@@ -175,14 +175,91 @@ READERS = {"adsc": (("B6",), ".ADS.", surveillance), "envelope": (("AA", "A6"),
 def decode_binary(messages: DataFrame, which: str, id_col: str = "delivery_id", text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
     """(id, result_type, result): the records of one reader as JSON."""
     labels, mark, read = READERS[which]
-    rows = messages.where(F.col(label_col).isin(*labels) & F.col(text_col).contains(mark)).select(F.col(id_col), F.trim(F.col(text_col), F.lit(" \t\r\n")).alias("text"))
+    rows = messages.where(F.col(label_col).isin(*labels) & F.col(text_col).contains(mark)).select(F.col(id_col), F.trim(F.col(text_col), F.lit(" \t\r\n")).alias("text"), F.col(label_col).alias("label"))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [read(t) for t in batch.column(1).to_pylist()]
+            made = [read(t, label) if which == "cpdlc" else read(t) for t, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             keep = [i for i, m in enumerate(made) if m is not None]
             texts = [json.dumps({k: v for k, v in made[i].items() if v is not None}) for i in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([which] * len(keep), pa.string()), pa.array(texts, pa.string())], [id_col, "result_type", "result"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, result_type string, result string")
+
+
+# Controller-pilot messages: the frame, the header and the number of the first element.
+
+FRAMES = {"AT1": "cpdlc", "CR1": "connect_request", "CC1": "connect_confirm", "DR1": "disconnect"}
+_frame = re.compile(r"/([A-Z0-9]{4,7})\.([A-Z]{2,3}[0-9])\.(.+)")
+LAST_ELEMENT = {"uplink": 182, "downlink": 128}
+
+
+def split_registration(rest: str) -> tuple[str, str]:
+    """The registration and the digits behind it: six characters if what follows are whole bytes, else five, seven, eight, else any."""
+    rest = rest.upper()
+    whole = re.compile(r"(?:[0-9A-F]{2})+").fullmatch
+    for n in (6, 5, 7, 8, *range(1, len(rest))):
+        if n < len(rest) and whole(rest[n:]) and (n == 6 or re.search("[A-Z]", rest[:n])):
+            return rest[:n], rest[n:]
+    return rest, ""
+
+
+def direction(label: str | None, block: str | None = None, link: str | None = None) -> str:
+    if link in ("uplink", "downlink"):
+        return link
+    if block and block[0].isdigit():
+        return "downlink"
+    if block and "A" <= block[0] <= "Z":
+        return "uplink"
+    return "downlink" if label == "AA" else "uplink"
+
+
+def header(payload: bytes, way: str) -> dict:
+    """The message header and the first element's number; ValueError where bits are missing or out of range."""
+    at = 1  # the first bit says whether more than one element follows
+
+    def read(width: int, most: int) -> int:
+        nonlocal at
+        if at + width > len(payload) * 8:
+            raise ValueError("bits are missing")
+        value = bits(payload, at, width)
+        at += width
+        if value > most:
+            raise ValueError(f"{value} is more than {most}")
+        return value
+
+    has_ref, has_time = read(1, 1), read(1, 1)
+    out: dict = {"msg_id": read(6, 63)}
+    if has_ref:
+        out["msg_ref"] = read(6, 63)
+    if has_time:
+        out["timestamp"] = {"hours": read(5, 23), "minutes": read(6, 59), "seconds": read(6, 59)}
+    return {"header": out, "more_elements": bool(payload[0] >> 7), "first_element": read(8, LAST_ELEMENT[way])}
+
+
+def controller(text: str, label: str | None = None, block: str | None = None, link: str | None = None) -> dict | None:
+    """The frame of a controller-pilot message; one that can't be read is a record with its error."""
+    m = _frame.fullmatch(text)
+    if not m:
+        return None
+    way = direction(label, block, link)
+    out: dict = {"direction": way}
+    registration, digits = split_registration(m[3])
+    if not digits:
+        return out | {"error": "parse_failed"}
+    payload = bytes.fromhex(digits)
+    if len(payload) < 2:
+        return out | {"error": "message_too_short"}
+    if not checked(m[2] + f".{registration}".ljust(7)[:7], payload):
+        return out | {"error": "crc_failed"}
+    out |= {"ground_station": m[1], "registration": registration, "raw_hex": digits, "message_type": FRAMES.get(m[2], "unknown")}
+    if out["message_type"] == "cpdlc":
+        try:
+            out |= header(payload[:-2], way) if len(payload) > 2 else {"error": "decode_failed"}
+        except ValueError:
+            out["error"] = "decode_failed"
+    return out
+
+
+READERS["cpdlc"] = (("AA", "BA"), ".", controller)

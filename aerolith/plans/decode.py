@@ -216,6 +216,10 @@ def decode_adsc(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
 
 
+def decode_cpdlc(spark: SparkSession, d: str) -> DataFrame:
+    return decode_binary(table(spark, d, "messages"), "cpdlc")
+
+
 def decode_weather(spark: SparkSession, d: str) -> DataFrame:
     """Observations written from the keys, one row a report."""
     text = f"'METAR KDEN 26' || {D2('h')} || {D2('m')} || 'Z ' || {D3('n')} || {D2('b')} || CASE WHEN s = 0 THEN 'MPS' ELSE 'KT' END || ' 10SM FEW080 M' || {D2('c')} || '/M12 A3001=\\nEGLL 261250Z 24004KT 9999 SCT030 10/08 Q10' || {D2('b')} || '='"
@@ -241,7 +245,7 @@ def reparse_changes(spark: SparkSession, d: str) -> DataFrame:
     return reparse_diff(stored, fresh).groupBy("result_type", "change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather, "dispatch_explain": dispatch_explain, "reparse_changes": reparse_changes}
+QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather, "decode_cpdlc": decode_cpdlc, "dispatch_explain": dispatch_explain, "reparse_changes": reparse_changes}
 _KEYS_SQL = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in KEYS.items())
 SQL = {n: _sql(n) for n in SPECS} | {
     "decode_weather": f"""WITH k AS (SELECT l_orderkey, l_linenumber, {_KEYS_SQL} FROM lineitem)

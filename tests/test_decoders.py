@@ -84,3 +84,12 @@ def test_binary_records():
 def test_long_adverse_texts(spark):
     rows = spark.createDataFrame([(1, "C1", "LOADSHEET FINAL 1230 " + "AB12/26 26NOV25\nZRH LHR HBJCA 2/4\nZFW 1 MAX 2 TOW " * 600), (2, "3S", "LOADSHEET FINAL 001 1230 " + "ZFW 1 TOW " * 3000), (3, "RA", "PDC 1 " + "CLEARED TO YMML VIA " * 2000)], "delivery_id long, label string, raw_text string")
     assert dispatch(rows, DECODERS).count() == 0
+
+
+def test_controller_messages():
+    found = binary.controller("/SOUCAYA.AT1.HL8251243F880C3D903BB412903604FE326C2479F4A64F7F62528B1A9CF8382738186AC28B16668E013DF464D8A7F0", "AA")
+    assert found["registration"] == "HL8251" and found["direction"] == "downlink" and found["first_element"] == 48
+    assert found["header"] == {"msg_id": 8, "timestamp": {"hours": 15, "minutes": 56, "seconds": 32}}
+    assert binary.controller("/ANCATYA.AT1.N514DN220012E8294A952882D8", "AA")["error"] == "decode_failed"
+    assert binary.controller("/ANCATYA.AT1.N514DN220012E8294A952882D9", "AA")["error"] == "crc_failed"
+    assert binary.controller("HELLO", "AA") is None and binary.direction("BA") == "uplink" and binary.direction("AA", "B") == "uplink" and binary.direction("BA", "5") == "downlink"
