@@ -6,6 +6,8 @@ table; the SQL never sees the text. Queries over the message log itself follow.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,7 +185,8 @@ def _query(name: str):
 def _sql(name: str) -> str:
     fields = SPECS[name][3]
     keys = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in KEYS.items())
-    shown = ", ".join(f"round({e}, 6) + 0.0::DOUBLE AS {n}" if "::DOUBLE" in e else f"{e} AS {n}" for n, e in fields.items())
+    typed = lambda e: f"CAST({e} AS BIGINT)" if re.fullmatch(r"-?\d+|CASE WHEN s = 0 THEN \d+ END", e) else e
+    shown = ", ".join(f"round({e}, 6) + 0.0::DOUBLE AS {n}" if "::DOUBLE" in e else f"{typed(e)} AS {n}" for n, e in fields.items())
     kept = " WHERE e + f + a + b + c > 0" if name == "decode_label4j" else ""
     return f"SELECT l_orderkey, l_linenumber, {shown} FROM (SELECT l_orderkey, l_linenumber, {keys} FROM lineitem){kept}"
 
@@ -252,6 +255,6 @@ SQL = {n: _sql(n) for n in SPECS} | {
 SELECT l_orderkey, l_linenumber, 'KDEN' AS airport, '26' || lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z' AS time, n AS wind_dir, nullif(CASE WHEN s = 0 THEN CAST(floor(b * 1.944::DOUBLE) AS BIGINT) ELSE b END, 0) AS wind_speed, '10SM' AS visibility,
 'FEW080' AS clouds, nullif(-c, 0) AS temperature, CAST(1016 AS BIGINT) AS qnh FROM k UNION ALL SELECT l_orderkey, l_linenumber, 'EGLL', '261250Z', 240, 4, '9999', 'SCT030', 10, 1000 + b FROM k""",
     "decode_adsc": f"""SELECT l_orderkey || '/' || l_linenumber AS delivery_id, 'G-ZBKO' AS registration, 'QUKAXBA' AS ground_station, 'basic' AS message_type, round((180 - 90 / 524288.0::DOUBLE) * a * 5000 / 1048575.0::DOUBLE, 6) + 0.0::DOUBLE AS latitude,
-round((180 - 90 / 524288.0::DOUBLE) * e * 5000 / 1048575.0::DOUBLE, 6) AS longitude, g * 100 AS altitude, n * 8 * 0.125::DOUBLE AS report_time_sec, 5 AS accuracy, true AS nav_redundancy
+round((180 - 90 / 524288.0::DOUBLE) * e * 5000 / 1048575.0::DOUBLE, 6) AS longitude, g * 100 AS altitude, n * 8 * 0.125::DOUBLE AS report_time_sec, CAST(5 AS BIGINT) AS accuracy, true AS nav_redundancy
 FROM (SELECT l_orderkey, l_linenumber, {', '.join(f'CAST({e} AS BIGINT) AS {n}' for n, e in KEYS.items())} FROM lineitem)"""
 }
