@@ -7,7 +7,8 @@ distance from the mean of its neighbours. The details' median absolute deviation
 the noise of that aircraft and field, the lesser of that over all and over local extremes, once in motion and once at rest. A spike is a
 reading with a detail of more than K noises that lies outside both neighbours by as
 much while these agree; the largest of adjacent ones is taken out and the details are
-computed anew, until none is left.
+computed anew, until none is left. A position in motion must besides be out of reach at
+the aircraft's own top speed, as holding patterns go out and back too.
 Runs of zero first-level detail (equal readings) of RUN and more show sticking, if
 the aircraft moves on and the sensor doesn't report in steps as coarse as its noise.
 
@@ -28,9 +29,10 @@ from aerolith.operators.ordered import blocks
 from aerolith.operators.tracks import identified, tracks
 
 BOUNDS = {"altitude": (-1500.0, 60000.0), "ground_speed": (0.0, 1000.0), "latitude": (-90.0, 90.0), "longitude": (-180.0, 180.0)}
-K = {"altitude": 3.5, "ground_speed": 5.0}
-LEAST = {"altitude": 300.0, "ground_speed": 25.0}  # what a spike must be off at least
-AWAY = 0.5  # the same, in degrees, for positions
+K = {"altitude": 3.5, "ground_speed": 5.0, "latitude": 3.5, "longitude": 3.5}
+LEAST = {"altitude": 300.0, "ground_speed": 25.0, "latitude": 0.02, "longitude": 0.02}  # what a spike must be off at least
+AWAY = 0.5  # degrees; what is off by more is tested however noisy the positions are
+SLACK = 1.5  # by which an aircraft may exceed its usual top speed between two positions
 MOVING = 60.0  # knots
 FASTEST = 800.0  # knots
 RUN = 7
@@ -68,16 +70,25 @@ def moving(gs: np.ndarray) -> np.ndarray:
     return middle > MOVING
 
 
+def top_speed(gs: np.ndarray) -> float:
+    """Knots that the aircraft can't have exceeded, by its own speeds if enough are known."""
+    known = gs[~np.isnan(gs)]
+    return min(FASTEST, max(2 * MOVING, SLACK * float(np.quantile(known, 0.99)))) if len(known) >= 20 else FASTEST
+
+
 def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.ndarray, alt: np.ndarray) -> np.ndarray:
     """A mask of the spikes of one series; lat, gs and alt are those of the same reports."""
     out = np.zeros(len(x), bool)
     if len(x) < 3:
         return out
     place = field in ("latitude", "longitude")
-    if not place:
-        fast = moving(gs)
-        scale = np.where(fast, noise_of(t, x, fast), noise_of(t, x, ~fast))
-        limit = np.maximum(np.maximum(K[field] * scale, LEAST[field]), 2 * step_of(x))
+    fast = moving(gs)
+    scale = np.where(fast, noise_of(t, x, fast), noise_of(t, x, ~fast))
+    limit = np.maximum(K[field] * scale, LEAST[field])
+    if place:
+        limit, fastest = np.minimum(limit, AWAY), top_speed(gs)
+    else:
+        limit = np.maximum(limit, 2 * step_of(x))
     for _ in range(8):
         left = np.flatnonzero(~out)
         if len(left) < 3:
@@ -92,10 +103,11 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
         if place:
             km = 111.2 * (np.cos(np.radians(np.clip(np.nan_to_num(lat[at]), -85, 85))) if field == "longitude" else 1.0)
             knots = lambda d, dt: d * km / 1.852 / (dt / HOUR)
-            impossible = np.maximum(knots(np.abs(v - p), before), knots(np.abs(v - n), after)) > FASTEST
+            impossible = np.maximum(knots(np.abs(v - p), before), knots(np.abs(v - n), after)) > fastest
             agree = (knots(apart, before + after) <= FASTEST) & (apart <= np.maximum(off, 0.05) * 2)
-            still = (apart < 0.05) & (before + after < 2 * HOUR)
-            hit = (off > AWAY) & agree & (impossible | still)
+            # Holding patterns go out and back as well, so at less than AWAY only positions at rest count without a look at the speed.
+            still = (apart < 0.05) & (before + after < 2 * HOUR) & (~fast[at] | (off > AWAY))
+            hit = (off > limit[at]) & agree & (impossible | still)
         else:
             near = before + after < 1.5 * HOUR
             agree = apart <= np.maximum(3 * scale[at], off / 3)

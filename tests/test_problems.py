@@ -186,6 +186,25 @@ def test_spikes_and_stuck_values(spark):
     assert found == {(20, "altitude"), (40, "ground_speed"), (60, "latitude"), (70, "altitude")} | {(i, "altitude") for i in range(81, 90)}
 
 
+def test_small_position_spikes_by_own_noise(spark):
+    rng = np.random.default_rng(6)
+    points = [[5 * i, 40 + rng.normal(0, 0.001), 10 + rng.normal(0, 0.001), 300, 0] for i in range(60)]
+    points += [[400 + i / 3, 40 + 0.04 * i, 10 + 0.01 * i, int(35000 + rng.normal(0, 20)), int(430 + rng.normal(0, 3))] for i in range(60)]
+    points[20][1] += 0.2
+    points[40][2] -= 0.15
+    points[90][2] += 0.3
+    updates, log = _track(spark, points)
+    found = {(r.update_id, r.field_name) for r in spikes.flagged(updates, log, _register(spark)).collect()}
+    assert found == {(20, "latitude"), (40, "longitude"), (90, "longitude")}
+
+
+def test_holding_pattern_is_no_case():
+    t = np.arange(60) * 240.0
+    lat = 50 + 0.12 * np.sin(np.arange(60) * 2.4)  # at 210 knots at most
+    speed = np.full(60, 210.0)
+    assert not spikes.spikes("latitude", t, lat, lat, speed, np.full(60, 9000.0)).any()
+
+
 def test_impossible_without_identity_and_copies(spark):
     updates = spark.createDataFrame([(1, None, None, None, 95.0, float("nan"), None, -5), (2, None, None, None, None, None, None, None)], UPDATE)
     found = {(r.update_id, r.field_name) for r in spikes.flagged(updates, messages(spark, []), _register(spark)).collect()}
