@@ -7,7 +7,8 @@ distance from the mean of its neighbours. The details' median absolute deviation
 the noise of that aircraft and field, the lesser of that over all and over local extremes, once in motion and once at rest. A spike is a
 reading with a detail of more than K noises that lies outside both neighbours by as
 much while these agree; the largest of adjacent ones is taken out and the details are
-computed anew, until none is left. A position in motion must besides be out of reach at
+computed anew, until none is left. Neighbours over a longer gap than is usual for the
+aircraft must agree the better, and the reading be out of reach at any climb. A position in motion must besides be out of reach at
 the aircraft's own top speed, as holding patterns go out and back too.
 Runs of zero first-level detail (equal readings) of RUN and more show sticking, if
 the aircraft moves on and the sensor doesn't report in steps as coarse as its noise.
@@ -38,6 +39,7 @@ FASTEST = 800.0  # knots
 RUN = 7
 BLOCK, HALO = 20_000, 64
 HOUR = 3600.0
+REACH = {"altitude": (1000.0, 5000.0 / 60), "ground_speed": (120.0, 1.0)}  # feet and knots that may be gained at once, and a second
 
 
 def step_of(x: np.ndarray) -> float:
@@ -48,11 +50,16 @@ def step_of(x: np.ndarray) -> float:
     return 1.0
 
 
+def usual_span(t: np.ndarray) -> float:
+    """Seconds within which an aircraft's three successive reports belong together: more for one that always reports sparsely."""
+    return max(1.5 * HOUR, 1.5 * float(np.median(t[2:] - t[:-2]))) if len(t) >= 10 else 1.5 * HOUR
+
+
 def noise_of(t: np.ndarray, x: np.ndarray, chosen: np.ndarray | None = None) -> float:
     """The robust scale of the details, of the chosen readings if there are enough: over all, or over local extremes alone if that is less, as steady climbs have none."""
     if len(x) < 5:
         return 0.0
-    near = t[2:] - t[:-2] < HOUR
+    near = t[2:] - t[:-2] < (HOUR if usual_span(t) == 1.5 * HOUR else usual_span(t))
     if chosen is not None and (near & chosen[1:-1]).sum() >= 10:
         near &= chosen[1:-1]
     detail = np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2)
@@ -88,8 +95,8 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
     if place:
         limit, fastest = np.minimum(limit, AWAY), top_speed(gs)
     else:
-        limit = np.maximum(limit, 2 * step_of(x))
-    for _ in range(8):
+        limit, usual = np.maximum(limit, 2 * step_of(x)), usual_span(t)
+    while True:  # each round takes out a reading at least
         left = np.flatnonzero(~out)
         if len(left) < 3:
             break
@@ -109,9 +116,11 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
             still = (apart < 0.05) & (before + after < 2 * HOUR) & (~fast[at] | (off > AWAY))
             hit = (off > limit[at]) & agree & (impossible | still)
         else:
-            near = before + after < 1.5 * HOUR
-            agree = apart <= np.maximum(3 * scale[at], off / 3)
-            hit = (off > limit[at]) & (detail > limit[at]) & agree & near
+            within = np.minimum(1.0, usual / (before + after))
+            agree = apart <= np.maximum(3 * scale[at], off / 3 * within)
+            # Over longer gaps than usual much may happen unseen, but not faster than an aircraft climbs or gains speed.
+            sudden = off > REACH[field][0] + REACH[field][1] * np.minimum(before, after)
+            hit = (off > limit[at]) & (detail > limit[at]) & agree & ((within == 1.0) | sudden)
             if hit.any():  # a landing between two reports lowers speed and altitude together
                 other = (gs if field == "altitude" else alt)[left]
                 op, ov, on = other[:-2], other[1:-1], other[2:]

@@ -205,6 +205,31 @@ def test_holding_pattern_is_no_case():
     assert not spikes.spikes("latitude", t, lat, lat, speed, np.full(60, 9000.0)).any()
 
 
+def test_spikes_are_removed_until_none_is_left():
+    x = 35000 + np.random.default_rng(0).normal(0, 10, 300)
+    x[100:140] += 12000 * (-0.95) ** np.arange(40)
+    t, still, speed = np.arange(300) * 60.0, np.zeros(300), np.full(300, 450.0)
+    found = spikes.spikes("altitude", t, x, still, speed, x)
+    assert found[100:140:2].sum() + found[101:140:2].sum() > 8
+    left = ~found
+    assert not spikes.spikes("altitude", t[left], x[left], still[left], speed[left], x[left]).any()
+
+
+def test_spikes_beside_silences_and_of_sparse_reports():
+    rng = np.random.default_rng(1)
+    t = np.arange(60) * 180.0
+    t[31:] += 4 * 3600
+    x, speed, still = 35000 + rng.normal(0, 20, 60), 450 + rng.normal(0, 3, 60), np.zeros(60)
+    x[30], speed[31] = 3500, 20
+    assert np.flatnonzero(spikes.spikes("altitude", t, x, still, speed, x)).tolist() == [30]
+    assert np.flatnonzero(spikes.spikes("ground_speed", t, speed, still, speed, x)).tolist() == [31]
+    sparse = np.arange(60) * 2 * 3600.0
+    assert np.flatnonzero(spikes.spikes("altitude", sparse, x, still, np.full(60, 450.0), x)).tolist() == [30]
+    climb = x.copy()
+    climb[30], t[30] = 21000, t[30] + 400  # reached within minutes
+    assert not spikes.spikes("altitude", t, climb, still, np.full(60, 450.0), climb).any()
+
+
 def test_impossible_without_identity_and_copies(spark):
     updates = spark.createDataFrame([(1, None, None, None, 95.0, float("nan"), None, -5), (2, None, None, None, None, None, None, None)], UPDATE)
     found = {(r.update_id, r.field_name) for r in spikes.flagged(updates, messages(spark, []), _register(spark)).collect()}
