@@ -17,6 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from aerolith.decoders.engine import Decoder, dispatch, records
 
 GOOD = 0x1D0F
 
@@ -172,22 +175,64 @@ def _short_fields(payload: bytes) -> dict:
 READERS = {"adsc": (("B6",), ".ADS.", surveillance), "envelope": (("AA", "A6"), ".", envelope)}
 
 
+def read_one(which: str, text: str, label: str | None) -> dict | None:
+    read = READERS[which][2]
+    return read(text, label) if which == "cpdlc" else read(text)
+
+
+def as_json(record: dict) -> str:
+    return json.dumps({k: v for k, v in record.items() if v is not None})
+
+
 def decode_binary(messages: DataFrame, which: str, id_col: str = "delivery_id", text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
     """(id, result_type, result): the records of one reader as JSON."""
-    labels, mark, read = READERS[which]
+    labels, mark, _ = READERS[which]
     rows = messages.where(F.col(label_col).isin(*labels) & F.col(text_col).contains(mark)).select(F.col(id_col), F.trim(F.col(text_col), F.lit(" \t\r\n")).alias("text"), F.col(label_col).alias("label"))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [read(t, label) if which == "cpdlc" else read(t) for t, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            made = [read_one(which, t, label) for t, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             keep = [i for i, m in enumerate(made) if m is not None]
-            texts = [json.dumps({k: v for k, v in made[i].items() if v is not None}) for i in keep]
+            texts = [as_json(made[i]) for i in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([which] * len(keep), pa.string()), pa.array(texts, pa.string())], [id_col, "result_type", "result"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, result_type string, result string")
 
 
+PRIORITIES = {"adsc": 10, "cpdlc": 50, "envelope": 100}
+RECORD = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("parser", "result_type", "result")]]))
+
+
+def dispatch_every(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), first: bool = False, text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
+    """What `dispatch` gives, with the records of the binary readers in their places."""
+    ordered = sorted([(d.priority, d.name) for d in decoders] + [(p, n) for n, p in PRIORITIES.items()])
+    places = {name: i for i, (_, name) in enumerate(ordered)}
+    marked = {x for labels, _, _ in READERS.values() for x in labels}
+    able = [d for d in decoders if not d.labels or marked & set(d.labels)]  # the others see nothing of these labels
+    wrapped = F.coalesce(F.col(label_col).isin(*sorted(marked)), F.lit(False))
+    plain = dispatch(messages.where(~wrapped), decoders, keep, first, text_col, label_col, places)
+    text = F.trim(F.col(text_col), F.lit(" \t\r\n"))
+    rows = messages.where(wrapped).select(*keep, text.alias("__text"), F.col(label_col).alias("__label"), records(able, F.col(text_col), F.col(label_col), places).alias("some"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for text, label in zip(batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()):
+                made = [(n, read_one(n, text, label)) for n, (labels, mark, _) in READERS.items() if label in labels and text and mark in text]
+                more.append([{"ord": places[n], "parser": n, "result_type": n, "result": as_json(m)} for n, m in made if m is not None])
+            kept = list(range(len(keep)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], batch.column(batch.num_columns - 1), pa.array(more, _arrow)], [*keep, "some", "more"])
+
+    shape = T.StructType([*[rows.schema[k] for k in keep], T.StructField("some", RECORD), T.StructField("more", RECORD)])
+    every = F.array_sort(F.concat("some", "more"))  # by place
+    read = rows.mapInArrow(run, shape).select(*keep, F.explode(F.slice(every, 1, 1) if first else every).alias("r")).select(*keep, "r.*")
+    return plain.unionByName(read)
+
+
+_arrow = pa.list_(pa.struct([("ord", pa.int32()), ("parser", pa.string()), ("result_type", pa.string()), ("result", pa.string())]))
+
+
 # Controller-pilot messages: the frame, the header and the number of the first element.
 
 FRAMES = {"AT1": "cpdlc", "CR1": "connect_request", "CC1": "connect_confirm", "DR1": "disconnect"}

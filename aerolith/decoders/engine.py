@@ -189,15 +189,19 @@ def decode(messages: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("deli
     return rows.select(*keep, F.explode_outer(F.array(decoder.column(F.col(text_col), F.col(label_col)))).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
 
 
-def dispatch(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), first: bool = False, text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
-    """Every record that any decoder makes of a message, in order of priority and name, in one pass over the log."""
-    ordered = sorted(decoders, key=lambda x: (x.priority, x.name))
+def records(decoders: list[Decoder], text: Column, label: Column, places: Mapping[str, int]) -> Column:
+    """The records that the decoders make of a message, in order of priority and name, each with its decoder's place."""
+
+    def tagged(d: Decoder) -> Column:
+        return bind(d.column(text, label), lambda r: F.when(r.isNotNull(), F.struct(F.lit(places[d.name]).alias("ord"), F.lit(d.name).alias("parser"), F.lit(d.kind).alias("result_type"), F.to_json(r).alias("result"))))
 
-    def tagged(i: int, d: Decoder) -> Column:
-        record = d.column(F.col(text_col), F.col(label_col))
-        return bind(record, lambda r: F.when(r.isNotNull(), F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("parser"), F.lit(d.kind).alias("result_type"), F.to_json(r).alias("result"))))
+    return F.array_compact(F.array(*[tagged(d) for d in sorted(decoders, key=lambda x: places[x.name])]))
 
-    some = F.array_compact(F.array(*[tagged(i, d) for i, d in enumerate(ordered)]))
+
+def dispatch(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), first: bool = False, text_col: str = "raw_text", label_col: str = "label", places: Mapping[str, int] | None = None) -> DataFrame:
+    """Every record that any decoder makes of a message, in order of priority and name, in one pass over the log."""
+    ordered = sorted(decoders, key=lambda x: (x.priority, x.name))
+    some = records(decoders, F.col(text_col), F.col(label_col), places or {d.name: i for i, d in enumerate(ordered)})
     # The outer form keeps the optimizer from copying the whole array into a filter on its size.
     rows = messages.select(*keep, F.explode_outer(F.slice(some, 1, 1) if first else some).alias("r"))
     return rows.where("r IS NOT NULL").select(*keep, "r.*")

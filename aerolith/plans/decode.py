@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.decoders import EVERY, registry
-from aerolith.decoders.binary import decode_binary
-from aerolith.decoders.engine import decode, dispatch, explain
+from aerolith.decoders.binary import decode_binary, dispatch_every
+from aerolith.decoders.engine import decode, explain
 from aerolith.sources.ingest import reparse_diff
 from aerolith.sources.tables import spread, table
 
@@ -192,11 +192,11 @@ def _sql(name: str) -> str:
 
 
 def dispatch_all(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch(spread(table(spark, d, "messages").select("delivery_id", "label", "raw_text")), registry("all"))
+    return dispatch_every(spread(table(spark, d, "messages").select("delivery_id", "label", "raw_text")), registry("all"))
 
 
 def dispatch_first(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch(spread(table(spark, d, "messages").select("delivery_id", "label", "raw_text")), registry("all"), first=True)
+    return dispatch_every(spread(table(spark, d, "messages").select("delivery_id", "label", "raw_text")), registry("all"), first=True)
 
 
 def _surveillance(spark: SparkSession, d: str) -> DataFrame:
@@ -240,11 +240,17 @@ def dispatch_explain(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("parser", F.col("f.format").alias("format")).agg(F.count("*").alias("messages"), F.count_if("quick_check").alias("passed"), F.count_if("f.matched").alias("matched"))
 
 
+def content(record: Column) -> Column:
+    """The fields of a JSON record in order of their names, without nulls and without what belongs to the message; other texts as they are."""
+    kept = F.map_filter(F.from_json(record, "map<string,string>"), lambda k, v: v.isNotNull() & ~k.isin("message_id", "timestamp"))
+    return F.coalesce(F.to_json(F.array_sort(F.map_entries(kept))), record, F.lit(""))
+
+
 def reparse_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The stored parse types against those of the decoders here."""
+    """The stored records against those of the decoders here, by type and content."""
     log = table(spark, d, "messages")
-    stored = log.where("parser_type <> ''").select("delivery_id", F.col("parser_type").alias("result_type"), F.lit("").alias("result"))
-    fresh = dispatch(log, registry("all")).select("delivery_id", "result_type", F.lit("").alias("result"))
+    stored = log.where("parser_type <> ''").select("delivery_id", F.col("parser_type").alias("result_type"), content(F.col("parsed_json")).alias("result"))
+    fresh = dispatch_every(spread(log.select("delivery_id", "label", "raw_text")), registry("all")).select("delivery_id", "result_type", content(F.col("result")).alias("result"))
     return reparse_diff(stored, fresh).groupBy("result_type", "change").agg(F.count("*").alias("n"))
 
 

@@ -56,6 +56,27 @@ def test_no_record(spark, label, text):
     assert dispatch(rows, DECODERS).count() == 0
 
 
+def test_binary_messages_are_dispatched(spark):
+    texts = [("B6", "/QUKAXBA.ADS.G-ZBKO072495A7EE7786F6A4D21F7A5D"), ("AA", "/ANCATYA.AT1.N514DN220012E8294A952882D8"), ("RA", "GATE ASSIGNMENT: B12"), (None, "x"), ("BA", None)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "delivery_id long, label string, raw_text string")
+    every = binary.dispatch_every(rows, DECODERS).collect()
+    assert sorted((r.delivery_id, r.parser) for r in every) == [(0, "adsc"), (1, "cpdlc"), (1, "envelope"), (2, "gateassign")]
+    assert json.loads(next(r.result for r in every if r.parser == "adsc"))["altitude"] == 14260
+    places = {r.parser: r.ord for r in every}
+    assert places["adsc"] < places["cpdlc"] < places["envelope"]
+    assert sorted((r.delivery_id, r.parser) for r in binary.dispatch_every(rows, DECODERS, first=True).collect()) == [(0, "adsc"), (1, "cpdlc"), (2, "gateassign")]
+
+
+def test_reparse_compares_contents(spark, tmp_path):
+    from aerolith.plans.decode import reparse_changes
+
+    sheet = '{"message_id":%d,"timestamp":"2025-01-01","gate":"%s","tail":null}'
+    log = [(1, "RA", "GATE ASSIGNMENT: B12", "gate_assignment", sheet % (1, "B12")), (2, "RA", "GATE ASSIGNMENT: B13", "gate_assignment", sheet % (2, "B99")), (3, "AA", "/ANCATYA.AT1.N514DN220012E8294A952882D8", "cpdlc", "{}"), (4, "XX", "x", "position", "{}")]
+    spark.createDataFrame(log, "delivery_id long, label string, raw_text string, parser_type string, parsed_json string").write.parquet(str(tmp_path / "messages.parquet"))
+    found = {(r.result_type, r.change): r.n for r in reparse_changes(spark, str(tmp_path)).collect()}
+    assert found == {("gate_assignment", "same"): 1, ("gate_assignment", "changed"): 1, ("cpdlc", "changed"): 1, ("envelope", "improvement"): 1, ("position", "regression"): 1}
+
+
 def test_translation():
     pattern, names = to_java(r"^(?P<a_b>\s+)[\s,]$")
     assert names == ["a_b"] and pattern == "(?d)^([ \\t\\n\\f\\r]+)[ \\t\\n\\f\\r,]\\z"
