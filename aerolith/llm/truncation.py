@@ -1,6 +1,6 @@
 """Problem 7: texts that lost their end, by a trie of the corpus vocabulary.
 
-Texts are cut into lexemes (words, runs of digits as their length, single signs).
+Texts are cut into lexemes (whole words, runs of digits as their length, `912` for twelve, single signs).
 For each kind of text the corpus gives a trie: under a context of two lexemes, how
 often a text stops at a lexeme (`ends`), and how often it goes on, be it with a
 further lexeme (`goes`) or because a longer lexeme begins with it (`longer`: the
@@ -44,7 +44,6 @@ SEEN = 10  # a context with fewer occurrences backs off
 ENDS = 3
 SHARE = 0.0003  # endings with at least this share of their kind's texts, so at most 3,334 a kind, are broadcast
 FLUSH = 200_000
-LONGEST = 24  # of a lexeme, as compared
 
 _lexeme = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _binary = re.compile(r"/([A-Z0-9]{4,7})\.([A-Z]{2,3}[0-9])\.(.+)", re.S)
@@ -52,7 +51,7 @@ GOOD = 0x1D0F  # fixed value: the CRC's residue over data with their checksum
 
 
 def lexemes(text: str) -> list[str]:
-    return [("9" * len(w) if len(w) < 7 else "9999999") if w[0].isdigit() else w[:LONGEST] for w in _lexeme.findall(text)]
+    return [f"9{len(w)}" if w[0].isdigit() else w for w in _lexeme.findall(text)]
 
 
 def shape(lexeme: str) -> str:
@@ -127,22 +126,35 @@ def _stops(counts: DataFrame, context: list[str], grows) -> DataFrame:
     """For each (context, word) at which a text ends: ends, and all in which it went on."""
     keys = ["kind", *context]
     at_end = counts.where("ends > 0")
-    near = counts.join(at_end.select(*keys).distinct(), keys, "left_semi")
-    longer = near.select(*keys, F.explode(grows(F.col("word"))).alias("word"), (F.col("ends") + F.col("goes")).alias("n")).groupBy(*keys, "word").agg(F.sum("n").alias("longer"))
+    near = counts.join(at_end.select(*keys).distinct(), keys, "left_semi").withColumn("n", F.col("ends") + F.col("goes"))
+    short = near.select(*keys, F.explode(grows(F.col("word"))).alias("word"), "n")
+    long = _begun(at_end.select(*keys, "word"), near.select(*keys, "word", "n"), keys).select(*keys, "word", "n")
+    longer = short.unionByName(long).groupBy(*keys, "word").agg(F.sum("n").alias("longer"))
     total = F.col("ends") + F.col("goes") + F.coalesce("longer", F.lit(0))
     return at_end.join(longer, [*keys, "word"], "left").select(*keys, "word", "ends", total.alias("total"), (F.col("ends") / total).alias("stop"))
 
 
+PLAIN = 24  # letters up to which a word's beginnings are listed one by one; longer ones are found by a join, as lists would grow with the square
+
+
+def _begun(some: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Each of some long words with each longer word that begins with it."""
+    head = lambda c: F.substring(c, 1, PLAIN + 1).alias("head")
+    long = words.where(F.length("word") > PLAIN + 1).withColumnRenamed("word", "whole").withColumn("head", head(F.col("whole")))
+    start = some.where(F.length("word") > PLAIN).withColumn("head", head(F.col("word")))
+    return start.join(long, [*keys, "head"]).where((F.length("whole") > F.length("word")) & F.col("whole").startswith(F.col("word")))
+
+
 def _prefixes(word):
-    """The proper prefixes of a lexeme."""
-    return F.when(F.length(word) > 1, F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda n: F.substr(word, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+    """The proper prefixes of a lexeme, of words those up to PLAIN letters."""
+    letters = F.transform(F.sequence(F.lit(1), F.least(F.length(word) - 1, F.lit(PLAIN))), lambda n: F.substr(word, F.lit(1), n))
+    return F.when(word.rlike(r"^9\d+\z"), _shorter(word)).when(F.length(word) > 1, letters).otherwise(F.array().cast("array<string>"))
 
 
 def _shorter(word):
     """The shapes a shape can be cut to."""
-    size = F.when(word.rlike(r"^A\d+\z"), F.substring(word, 2, 3).cast("int")).when(word.rlike(r"^9+\z"), F.length(word)).otherwise(F.lit(1))
-    mark = F.when(word.startswith("A"), F.lit("A"))
-    return F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda n: F.when(mark.isNotNull(), F.concat(mark, n.cast("string"))).otherwise(F.repeat(F.lit("9"), n)))).otherwise(F.array().cast("array<string>"))
+    size = F.when(word.rlike(r"^[A9]\d+\z"), F.substring(word, 2, 9).cast("int")).otherwise(F.lit(1))
+    return F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda n: F.concat(F.substring(word, 1, 1), n.cast("string")))).otherwise(F.array().cast("array<string>"))
 
 
 def _shape(column: str):
@@ -185,7 +197,8 @@ def decided(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame
 
     word = F.col("word").rlike(r"^\p{L}+\z")
     vocabulary = counts.where(word).groupBy("word").agg(F.sum("goes").alias("goes")).where("goes > 0").select("word")
-    inner = vocabulary.select(F.explode(_prefixes(F.col("word"))).alias("word")).distinct().join(vocabulary, "word", "left_anti").withColumn("prefix", F.lit(True))  # unknown words that begin known ones
+    long = _begun(rows.where(word & (F.length("word") > PLAIN)).select("word").distinct(), vocabulary, []).select("word")
+    inner = vocabulary.select(F.explode(_prefixes(F.col("word"))).alias("word")).unionByName(long).distinct().join(vocabulary, "word", "left_anti").withColumn("prefix", F.lit(True))  # unknown words that begin known ones
 
     size = counts.groupBy("kind").agg(F.sum("ends").alias("n"))
     usual = first.where("whole").join(size, "kind").where(F.col("ends") >= F.greatest(F.lit(ENDS), F.col("n") * SHARE))
