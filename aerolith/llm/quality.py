@@ -68,6 +68,13 @@ def _separators(line: str) -> tuple[int, int, int]:
     return line.count("\t"), line.count("|"), len(re.findall(r"[,;](?=\S|$)", line))
 
 
+def packed(lines: list[str]) -> float:
+    """The compressed size of a whole text a character, line by line."""
+    squeeze = zlib.compressobj(1)
+    size = sum(len(squeeze.compress((("\n" if i else "") + x).encode("utf-8", "replace"))) for i, x in enumerate(lines)) + len(squeeze.flush())
+    return size / max(40, sum(map(len, lines)) + len(lines) - 1)
+
+
 def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
     """One row a line; the columns of the second half are those of the whole text."""
     n = len(lines)
@@ -82,10 +89,9 @@ def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
     unique = len({x.strip() for x in lines}) / n
     rows = Counter(s for s in separators if max(s) > 0)
     regular = rows.most_common(1)[0][1] / n if rows else 0.0
-    body = "\n".join(lines)[:100_000]
     context = [
         unique, marked.mean(), regular, float(np.median([len(w) for w in words])), sum(w in common for w in every) / max(1, len(every)), np.log1p(n), short.mean(), named.mean(),
-        len(set(every)) / max(1, len(every)), len(zlib.compress(body.encode("utf-8", "replace"), 1)) / max(40, len(body)), ends.mean(),
+        len(set(every)) / max(1, len(every)), packed(lines), ends.mean(),
     ]
     out = np.empty((n, 25 + len(context)))
     for i, x in enumerate(lines):

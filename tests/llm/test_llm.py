@@ -153,6 +153,15 @@ def test_kinds_of_checked_texts(spark, data):
     assert all(found[i].kind is None and found[i].n_words == 0 for i in (-1, -2, -3)) and found[-4].kind == "junk"
 
 
+def test_whole_texts_are_compressed():
+    rng = random.Random(8)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(80)) for _ in range(1300)]
+    same = ["the crew was told to wait in the bay and the fuel was low"] * 20_000
+    assert quality.line_statistics(noise + same, frozenset())[0, 34] < 0.1
+    assert quality.line_statistics(noise, frozenset())[0, 34] > 0.5
+    assert quality.packed(["a"]) == pytest.approx(9 / 40)
+
+
 def test_quality_of_nothing(spark, data):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality.judged(docs, table(spark, data, "common_words")).count() == 0
