@@ -54,6 +54,11 @@ def lexemes(text: str) -> list[str]:
     return [f"9{len(w)}" if w[0].isdigit() else w for w in _lexeme.findall(text)]
 
 
+def context(lexeme: str) -> str:
+    """A lexeme as context of the next: there, runs of seven digits and more are alike, as it is complete."""
+    return "97" if len(lexeme) > 1 and lexeme[0] == "9" and int(lexeme[1:]) > 7 else lexeme
+
+
 def shape(lexeme: str) -> str:
     return f"A{len(lexeme)}" if lexeme[:1].isalpha() else lexeme
 
@@ -112,8 +117,9 @@ def _trie(base: DataFrame) -> DataFrame:
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = ["", "", *lexemes(text)]
                 if len(found) > 2:
-                    every.update(zip([kind] * len(found), found, found[1:], found[2:]))
-                    ends[(kind, *found[-3:])] += 1
+                    before = [context(w) for w in found]
+                    every.update(zip([kind] * len(found), before, before[1:], found[2:]))
+                    ends[(kind, *before[-3:-1], found[-1])] += 1
                 if len(every) > FLUSH:
                     yield out()
         yield out()
@@ -174,7 +180,7 @@ def decided(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame
         names = ["delivery_id", "id", "source", "kind", "length", "sound", "c2", "c1", "word", "closed"]
         for batch in batches:
             texts = [t.strip() for t in batch.column(4).to_pylist()]
-            ends = [["", "", *lexemes(t)][-3:] for t in texts]
+            ends = [[context(c2), context(c1), word] for c2, c1, word in (["", "", *lexemes(t)][-3:] for t in texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:4],

@@ -127,6 +127,7 @@ def test_cuts_inside_long_lexemes(spark):
     long = "abcdefghijklmnopqrstuvwxyzabcdefghij"
     rows = [(i, i + 1, "s", "number", f"MSG {rng.randrange(10, 99)} REF {rng.randrange(10**11, 10**12)}") for i in range(400)]
     rows += [(1000 + i, 1001 + i, "s", "word", f"MSG {rng.randrange(10, 99)} KEY {long}") for i in range(400)]
+    rows += [(1500 + i, 1501 + i, "s", "closed", f"MSG 11 REF {10 ** rng.randrange(8, 40)}.") for i in range(100)]
     rows += [(2000, 2001, "s", "number", "MSG 11 REF 12345678"), (2001, 2002, "s", "word", "MSG 11 KEY " + long[:30])]
     frame = spark.createDataFrame(rows, "delivery_id long, id long, source string, parser_type string, raw_text string")
     assert {r.delivery_id for r in truncation.found(frame).collect()} == {2000, 2001}
