@@ -37,14 +37,3 @@ def blocks(rows: DataFrame, key: str, order: list[str], bucket: Column, size: in
     )
     spread = ranked.withColumn("__own", own).withColumn("block", F.explode(F.array_compact(near)) if halo else F.col("__own"))
     return spread.withColumn("is_core", F.col("block") == F.col("__own")).drop("__bucket", "__before", "__total", "__own")
-
-
-def running_max(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """With, for each name, the greatest value so far along the ranks of a key, across blocks; rows have key, block and rank."""
-    inside = Window.partitionBy(key, "block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumns({f"__{name}": value for name, value in values.items()})
-    ends = marked.groupBy(key, "block").agg(*[F.max(f"__{name}").alias(f"__last_{name}") for name in values])
-    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not rows
-    carried = ends.select(key, "block", *[F.max(f"__last_{name}").over(before).alias(f"__carried_{name}") for name in values])
-    joined = marked.join(carried, [key, "block"])
-    return joined.withColumns({name: F.coalesce(F.max(f"__{name}").over(inside), F.col(f"__carried_{name}")) for name in values}).drop(*[f"__{n}" for n in values], *[f"__carried_{n}" for n in values])

@@ -7,7 +7,8 @@ distance from the mean of its neighbours. The details' median absolute deviation
 the noise of that aircraft and field, the lesser of that over all and over local extremes, once in motion and once at rest. A spike is a
 reading with a detail of more than K noises that lies outside both neighbours by as
 much while these agree; the largest of adjacent ones is taken out and the details are
-computed anew, until none is left. Neighbours over a longer gap than is usual for the
+computed anew, until none is left, so that details of all widths are tested. What is usual
+for an aircraft (noise, steps, gaps, top speed) is counted over all of its blocks first. Neighbours over a longer gap than is usual for the
 aircraft must agree the better, and the reading be out of reach at any climb. A position in motion must besides be out of reach at
 the aircraft's own top speed, as holding patterns go out and back too.
 Runs of zero first-level detail (equal readings) of RUN and more show sticking, if
@@ -21,6 +22,8 @@ Empty tables give no cases; only the named columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators.ordered import blocks
 from aerolith.operators.tracks import identified, tracks
+from aerolith.sources.tables import shuffle_width
 
 BOUNDS = {"altitude": (-1500.0, 60000.0), "ground_speed": (0.0, 1000.0), "latitude": (-90.0, 90.0), "longitude": (-180.0, 180.0)}
 K = {"altitude": 3.5, "ground_speed": 5.0, "latitude": 3.5, "longitude": 3.5}
@@ -39,33 +43,81 @@ FASTEST = 800.0  # knots
 RUN = 7
 BLOCK, HALO = 20_000, 64
 HOUR = 3600.0
+NEAR = 1.5 * HOUR  # within which an aircraft's three successive reports belong together, or 1.5 times the usual, if that is more
+STEPS = (1000.0, 500.0, 250.0, 100.0, 50.0, 25.0, 20.0, 10.0, 5.0, 2.0)
+FIELDS = tuple(BOUNDS)
 REACH = {"altitude": (1000.0, 5000.0 / 60), "ground_speed": (120.0, 1.0)}  # feet and knots that may be gained at once, and a second
 
 
-def step_of(x: np.ndarray) -> float:
-    """The coarsest step of which nine tenths of the values are multiples."""
-    for step in (1000.0, 500.0, 250.0, 100.0, 50.0, 25.0, 20.0, 10.0, 5.0, 2.0):
-        if (np.mod(x, step) == 0).mean() >= 0.9:
-            return step
-    return 1.0
+def log_bin(x: np.ndarray) -> np.ndarray:
+    """Bins of half a percent; 0 for zero."""
+    return np.where(x > 0, np.round(128 * np.log2(np.maximum(x, 1e-9))) + 10_000, 0).astype(np.int64)
+
+
+def span_bin(seconds: np.ndarray) -> np.ndarray:
+    """0 within an hour, then bins of less than a percent."""
+    return np.where(seconds < HOUR, 0, 1 + np.floor(100 * np.log2(np.maximum(seconds, HOUR) / HOUR))).astype(np.int64)
+
+
+FAST, EXTREME, VALUES, STEP, SPEED = 1, 2, 8, 9, 10  # what is counted: details (by motion, and of local extremes), readings, multiples of a step, speeds
 
 
-def usual_span(t: np.ndarray) -> float:
-    """Seconds within which an aircraft's three successive reports belong together: more for one that always reports sparsely."""
-    return max(1.5 * HOUR, 1.5 * float(np.median(t[2:] - t[:-2]))) if len(t) >= 10 else 1.5 * HOUR
+def tally(t: np.ndarray, readings: dict[str, np.ndarray], core: np.ndarray) -> pd.DataFrame:
+    """Counts, of the core rows of one block, from which an aircraft's usual behaviour follows: field, what, span, bin and n. They add up over blocks."""
+    parts = []
 
+    def count(field: int, what, span: np.ndarray, bins: np.ndarray) -> None:
+        keys, n = np.unique((np.asarray(what, np.int64) << 48) + (span << 24) + bins, return_counts=True)
+        parts.append(np.stack([np.full(len(keys), field), keys >> 48, keys >> 24 & 0xFFFFFF, keys & 0xFFFFFF, n], axis=1))
 
-def noise_of(t: np.ndarray, x: np.ndarray, chosen: np.ndarray | None = None) -> float:
-    """The robust scale of the details, of the chosen readings if there are enough: over all, or over local extremes alone if that is less, as steady climbs have none."""
-    if len(x) < 5:
-        return 0.0
-    near = t[2:] - t[:-2] < (HOUR if usual_span(t) == 1.5 * HOUR else usual_span(t))
-    if chosen is not None and (near & chosen[1:-1]).sum() >= 10:
-        near &= chosen[1:-1]
-    detail = np.abs(x[1:-1] - (x[:-2] + x[2:]) / 2)
-    extreme = near & ((x[1:-1] - x[:-2]) * (x[1:-1] - x[2:]) > 0)
-    found = [1.4826 * float(np.median(detail[m])) for m in (near, extreme) if m.sum() >= (1 if m is near else 10)]
-    return min(found, default=0.0)
+    speed = readings["ground_speed"]
+    for k, f in enumerate(FIELDS):
+        i = np.flatnonzero(~np.isnan(readings[f]))
+        x, s, own = readings[f][i], t[i], core[i]
+        parts.append(np.array([[k, VALUES, 0, 0, own.sum()], *[[k, STEP, j, 0, (x[own] % step == 0).sum()] for j, step in enumerate(STEPS)]]))
+        if len(x) >= 3:
+            p, v, n = x[:-2], x[1:-1], x[2:]
+            mine = own[1:-1]
+            what = moving(speed[i])[1:-1] * FAST + ((v - p) * (v - n) > 0) * EXTREME
+            count(k, what[mine], span_bin(s[2:] - s[:-2])[mine], log_bin(np.abs(v - (p + n) / 2))[mine])
+    known = np.round(speed[core & ~np.isnan(speed)]).astype(np.int64)
+    count(0, np.full(len(known), SPEED), np.zeros(len(known), np.int64), known)
+    return pd.DataFrame(np.concatenate(parts), columns=["field", "what", "span", "bin", "n"])
+
+
+def _quantile(bins: np.ndarray, n: np.ndarray, q: float) -> int:
+    order = np.argsort(bins)
+    return int(bins[order][np.searchsorted(np.cumsum(n[order]), q * n.sum())])
+
+
+USUAL = [f"{f}_{what}" for f in BOUNDS for what in ("span", "step", "fast", "rest", "all")] + ["top"]
+
+
+def usual(counts: pd.DataFrame) -> dict[str, float]:
+    """An aircraft's usual behaviour from all its counts: for each field the span of three successive reports, the coarsest step of which nine tenths of the readings are multiples, and
+    the noise in motion, at rest and altogether; and the speed it can't have exceeded."""
+    out = {}
+    for k, f in enumerate(FIELDS):
+        mine = counts[counts["field"] == k]
+        what, span, bins, n = (mine[c].to_numpy() for c in ("what", "span", "bin", "n"))
+        values = int(n[what == VALUES].sum())
+        detail = what < VALUES
+        middle = _quantile(span[detail], n[detail], 0.5) if n[detail].sum() >= 8 else 0
+        out[f"{f}_span"] = NEAR if not middle else max(NEAR, 1.5 * HOUR * 2 ** ((middle - 0.5) / 100))
+        out[f"{f}_step"] = next((step for j, step in enumerate(STEPS) if values and n[(what == STEP) & (span == j)].sum() >= 0.9 * values), 1.0)
+        near = detail & (HOUR * 2 ** ((span - 1) / 100) < (HOUR if out[f"{f}_span"] == NEAR else out[f"{f}_span"]))
+        for name, chosen in (("fast", what & FAST > 0), ("rest", what & FAST == 0), ("all", np.ones(len(what), bool))):
+            some = near & chosen if n[near & chosen].sum() >= 10 else near
+            found = []
+            for m, least in ((some, 1), (some & (what & EXTREME > 0), 10)):
+                if n[m].sum() >= least:
+                    b = _quantile(bins[m], n[m], 0.5)
+                    found.append(1.4826 * 2 ** ((b - 10_000) / 128) if b else 0.0)
+            out[f"{f}_{name}"] = min(found, default=0.0) if values >= 5 else 0.0
+    speeds = counts[counts["what"] == SPEED]
+    n = speeds["n"].to_numpy()
+    out["top"] = min(FASTEST, max(2 * MOVING, SLACK * _quantile(speeds["bin"].to_numpy(), n, 0.99))) if n.sum() >= 20 else FASTEST
+    return out
 
 
 def moving(gs: np.ndarray) -> np.ndarray:
@@ -77,25 +129,20 @@ def moving(gs: np.ndarray) -> np.ndarray:
     return middle > MOVING
 
 
-def top_speed(gs: np.ndarray) -> float:
-    """Knots that the aircraft can't have exceeded, by its own speeds if enough are known."""
-    known = gs[~np.isnan(gs)]
-    return min(FASTEST, max(2 * MOVING, SLACK * float(np.quantile(known, 0.99)))) if len(known) >= 20 else FASTEST
-
-
-def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.ndarray, alt: np.ndarray) -> np.ndarray:
-    """A mask of the spikes of one series; lat, gs and alt are those of the same reports."""
+def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.ndarray, alt: np.ndarray, own: dict[str, float] | None = None) -> np.ndarray:
+    """A mask of the spikes of one series; lat, gs and alt are those of the same reports, own is what is usual for the aircraft (by default, for this series)."""
+    own = own or usual(tally(t, {"latitude": lat, "longitude": np.full(len(t), np.nan), "altitude": alt, "ground_speed": gs} | {field: x}, np.ones(len(t), bool)))
     out = np.zeros(len(x), bool)
     if len(x) < 3:
         return out
     place = field in ("latitude", "longitude")
     fast = moving(gs)
-    scale = np.where(fast, noise_of(t, x, fast), noise_of(t, x, ~fast))
+    scale = np.where(fast, own[f"{field}_fast"], own[f"{field}_rest"])
     limit = np.maximum(K[field] * scale, LEAST[field])
     if place:
-        limit, fastest = np.minimum(limit, AWAY), top_speed(gs)
+        limit, fastest = np.minimum(limit, AWAY), own["top"]
     else:
-        limit, usual = np.maximum(limit, 2 * step_of(x)), usual_span(t)
+        limit, together = np.maximum(limit, 2 * own[f"{field}_step"]), own[f"{field}_span"]
     while True:  # each round takes out a reading at least
         left = np.flatnonzero(~out)
         if len(left) < 3:
@@ -116,7 +163,7 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
             still = (apart < 0.05) & (before + after < 2 * HOUR) & (~fast[at] | (off > AWAY))
             hit = (off > limit[at]) & agree & (impossible | still)
         else:
-            within = np.minimum(1.0, usual / (before + after))
+            within = np.minimum(1.0, together / (before + after))
             agree = apart <= np.maximum(3 * scale[at], off / 3 * within)
             # Over longer gaps than usual much may happen unseen, but not faster than an aircraft climbs or gains speed.
             sudden = off > REACH[field][0] + REACH[field][1] * np.minimum(before, after)
@@ -139,7 +186,7 @@ def spikes(field: str, t: np.ndarray, x: np.ndarray, lat: np.ndarray, gs: np.nda
     return out
 
 
-def stuck(field: str, t: np.ndarray, x: np.ndarray, every_t: np.ndarray, lat: np.ndarray, lon: np.ndarray, gs: np.ndarray) -> np.ndarray:
+def stuck(field: str, t: np.ndarray, x: np.ndarray, every_t: np.ndarray, lat: np.ndarray, lon: np.ndarray, gs: np.ndarray, own: dict[str, float] | None = None) -> np.ndarray:
     """A mask of the repeats of long runs of equal readings; lat, lon and gs are those of all reports, with wrong ones as NaN."""
     out = np.zeros(len(x), bool)
     if len(x) < RUN:
@@ -150,9 +197,8 @@ def stuck(field: str, t: np.ndarray, x: np.ndarray, every_t: np.ndarray, lat: np
         return out
     place = field in ("latitude", "longitude")
     if not place:
-        step = step_of(x)
-        noise = noise_of(t, x)
-        if noise <= 2.5 * step:
+        own = own or usual(tally(t, {"latitude": np.full(len(t), np.nan), "longitude": np.full(len(t), np.nan), "altitude": np.full(len(t), np.nan), "ground_speed": np.full(len(t), np.nan)} | {field: x}, np.ones(len(t), bool)))
+        if own[f"{field}_all"] <= 2.5 * own[f"{field}_step"]:  # steps as coarse as the noise
             return out
     for a, b in zip(starts, ends):
         if b - a < RUN:
@@ -173,20 +219,16 @@ def stuck(field: str, t: np.ndarray, x: np.ndarray, every_t: np.ndarray, lat: np
     return out
 
 
-FIELDS = tuple(BOUNDS)
-
-
-def judge(at: np.ndarray, readings: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def judge(t: np.ndarray, readings: dict[str, np.ndarray], own: dict[str, float]) -> dict[str, np.ndarray]:
     """For each field a mask of the wrong readings of one aircraft's reports in time order; nulls are NaN."""
-    t = at / 1e6
     wrong = {f: np.zeros(len(t), bool) for f in FIELDS}
     for f in ("latitude", "longitude", "altitude", "ground_speed"):
         i = np.flatnonzero(~np.isnan(readings[f]))
-        wrong[f][i[spikes(f, t[i], readings[f][i], readings["latitude"][i], readings["ground_speed"][i], readings["altitude"][i])]] = True
+        wrong[f][i[spikes(f, t[i], readings[f][i], readings["latitude"][i], readings["ground_speed"][i], readings["altitude"][i], own)]] = True
     good = {f: np.where(wrong[f], np.nan, readings[f]) for f in FIELDS}
     for f in FIELDS:
         i = np.flatnonzero(~np.isnan(good[f]))
-        wrong[f][i[stuck(f, t[i], good[f][i], t, good["latitude"], good["longitude"], good["ground_speed"])]] = True
+        wrong[f][i[stuck(f, t[i], good[f][i], t, good["latitude"], good["longitude"], good["ground_speed"], own)]] = True
     return wrong
 
 
@@ -195,20 +237,46 @@ def possible(field: str):
     return F.col(field).between(low, high) & ~F.isnan(field)
 
 
-def wrong_reports(track: DataFrame) -> DataFrame:
-    """(report, field_name): spikes and stuck readings; those impossible in themselves count as missing."""
+def judged(track: DataFrame, finish: Callable[[pd.DataFrame, dict[str, np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
+    """What `finish` makes of each block of a track, its rows in order with is_core, and the masks of their wrong readings; those impossible in themselves count as missing.
+
+    One pass over the blocks counts what is usual, a second one judges; only the counts are merged over an aircraft.
+    """
     clean = track.select("report", "hex", "at", *[F.when(possible(f), F.col(f)).alias(f) for f in FIELDS])
-    cut = blocks(clean, "hex", ["at", "report"], F.floor(F.col("at") / (86_400 * 1_000_000)), BLOCK, HALO)
+    cut = blocks(clean, "hex", ["at", "report"], F.floor(F.col("at") / (86_400 * 1_000_000)), BLOCK, HALO).repartition(shuffle_width(track.sparkSession), "hex", "block")
+
+    def series(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return pdf["at"].to_numpy(float) / 1e6, {f: pdf[f].to_numpy(float) for f in FIELDS}
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        return tally(*series(pdf), pdf["is_core"].to_numpy(bool)).assign(hex=pdf["hex"].iloc[0], block=pdf["block"].iloc[0])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        named = sorted({b for some in pdf["blocks"] if some is not None for b in some})
+        return pd.DataFrame([{"hex": pdf["hex"].iloc[0], "usual": list(usual(pdf).values()), "blocks": named}])
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        masks = judge(pdf["at"].to_numpy(float), {f: pdf[f].to_numpy(float) for f in FIELDS})
-        core = pdf["is_core"].to_numpy(bool)
-        report = pdf["report"].to_numpy()
+        return finish(pdf, judge(*series(pdf), dict(zip(USUAL, own["usual"].iloc[0]))))
+
+    grouped = cut.groupBy("hex", "block")
+    counts = grouped.applyInPandas(count, "hex string, block bigint, field bigint, what bigint, span bigint, bin bigint, n bigint")
+    where = F.when((F.col("what") == VALUES) & (F.col("field") == 0), F.col("block"))
+    whole = counts.groupBy("hex", "field", "what", "span", "bin").agg(F.sum("n").alias("n"), F.collect_set(where).alias("blocks")).repartition(shuffle_width(track.sparkSession), "hex")
+    held = whole.groupBy("hex").applyInPandas(merge, "hex string, usual array<double>, blocks array<bigint>").select("hex", "usual", F.explode("blocks").alias("block"))
+    return grouped.cogroup(held.groupBy("hex", "block")).applyInPandas(run, schema)
+
+
+def wrong_reports(track: DataFrame) -> DataFrame:
+    """(report, field_name): spikes and stuck readings."""
+
+    def finish(pdf: pd.DataFrame, masks: dict[str, np.ndarray]) -> pd.DataFrame:
+        core, report = pdf["is_core"].to_numpy(bool), pdf["report"].to_numpy()
         found = [(f, report[masks[f] & core]) for f in FIELDS]
         return pd.DataFrame({"report": np.concatenate([r for _, r in found]), "field_name": np.repeat([f for f, _ in found], [len(r) for _, r in found])})
 
-    return cut.groupBy("hex", "block").applyInPandas(run, "report bigint, field_name string")
+    return judged(track, finish, "report bigint, field_name string")
 
 
 def flagged(updates: DataFrame, messages: DataFrame, register: DataFrame) -> DataFrame:

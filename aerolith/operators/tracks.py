@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from aerolith.sources.tables import micros
 
-MAX_REGISTER = 1_000_000
-
 
 def identified(updates: DataFrame, register: DataFrame) -> DataFrame:
     """The reports with `hex`: the hex code in upper case or, where it is missing, that of the registration; and `report`: message_id, or a number below 0 for a report without."""
     own = F.nullif(F.upper(F.trim("icao_hex")), F.lit(""))
     plain = F.upper(F.trim("registration"))
     known = register.where("registration IS NOT NULL AND icao_hex IS NOT NULL").groupBy(F.upper(F.trim("registration")).alias("__reg")).agg(F.min(F.upper(F.trim("icao_hex"))).alias("__hex"))
-    if known.limit(MAX_REGISTER + 1).count() <= MAX_REGISTER:
-        known = F.broadcast(known)
     picked = updates.select("update_id", "message_id", own.alias("__own"), F.nullif(plain, F.lit("")).alias("__reg"), F.col("latitude").cast("double"), F.col("longitude").cast("double"), F.col("altitude").cast("double"), F.col("ground_speed").cast("double"))
     return picked.join(known, "__reg", "left").select(
         "update_id", F.coalesce("message_id", -F.col("update_id") - 1).alias("report"), F.coalesce("__own", "__hex").alias("hex"), "latitude", "longitude", "altitude", "ground_speed"

@@ -17,6 +17,7 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -30,8 +31,10 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; only where none is named, a local one."""
+    """The shared folder named by the cluster; in one process, as in tests, a local one if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = os.path.join(tempfile.gettempdir(), "aerolith-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -260,6 +260,51 @@ def test_blocks_agree_with_one_block(spark, data, monkeypatch):
     from aerolith.sources.tables import table
 
     tables = [table(spark, data, n) for n in ("flight_updates", "messages", "aircraft")]
-    whole = {tuple(r) for r in stays.stays(*tables).collect()}
-    monkeypatch.setattr(stays, "BLOCK", 37)
+    whole, wrong = {tuple(r) for r in stays.stays(*tables).collect()}, {tuple(r) for r in spikes.flagged(*tables).collect()}
+    monkeypatch.setattr(spikes, "BLOCK", 150)
+    assert {tuple(r) for r in spikes.flagged(*tables).collect()} == wrong
     assert {tuple(r) for r in stays.stays(*tables).collect()} == whole
+
+
+def _brute_stops(rows):
+    """Stops by definition: the anchor moves behind the last position that is too far."""
+    out, window = [], []
+    for r in rows:
+        far = [i for i, w in enumerate(window) if stays.kilometres(r[3], r[4], w[3], w[4]) > stays.RADIUS]
+        if far and window[-1][2] - window[0][2] >= stays.STAY:
+            out.append((window[0][0], window[-1][0]))
+            window = []
+        elif far:
+            window = window[far[-1] + 1 :]
+        window.append(r)
+    return out + ([(window[0][0], window[-1][0])] if window and window[-1][2] - window[0][2] >= stays.STAY else [])
+
+
+@pytest.mark.parametrize("lat,lon", [(50.0, 8.0), (89.99, 0.0), (0.0, 179.999)])
+def test_hulls_against_brute_force(lat, lon):
+    rng = np.random.default_rng(int(lat))
+    rows, at, x, y = [], 0, 0.0, 0.0
+    for i in range(1500):
+        at += int(rng.integers(30, 400)) * 1_000_000
+        step = 2.0 if rng.random() < 0.1 else 0.3
+        x, y = x + rng.normal(0, step), y + rng.normal(0, step)
+        place = (min(90.0, lat + y / 111.2) if lat < 80 else 90 - abs(y) / 111.2, (lon + x / 111.2 / max(0.01, np.cos(np.radians(lat))) + 180) % 360 - 180)
+        rows.append((i, 0, at, *map(float, place)))
+    window, found = stays.Anchored(), []
+    for r in rows:
+        found.append(window.put(*r))
+    found.append(window.stop())
+    assert [f[:2] for f in found if f] == _brute_stops(rows)
+
+
+def test_long_stops_take_linear_time():
+    import time
+
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        places = np.stack([50 + rng.normal(0, 0.001, n), 8 + rng.normal(0, 0.001, n)], axis=1).tolist()
+        window, began = stays.Anchored(), time.process_time()
+        assert all(window.put(i, 0, i * 60_000_000, *p) is None for i, p in enumerate(places))
+        return time.process_time() - began
+
+    assert seconds(8000) < 0.5 and seconds(100_000) < 8
