@@ -3,19 +3,23 @@
 A message's identity is its id, or, where the id is unusable (0 or null), its
 timestamp and text. Rows are reduced to identity, created_at and delivery_id:
 
-1. While scanning, the copies inside one Arrow batch are settled at once, so that
-   an identity that holds a third of all rows shuffles a few rows a batch.
-2. The rest is hashed on the identity and sorted by created_at. Each task reads
-   its part as a stream and keeps one scalable Bloom filter for all identities so
-   far and one for each time bucket (a day of created_at). An identity the first
-   filter hasn't seen is new, definitely. A possible repeat is looked up in the
-   filters of the buckets, which name those that may hold an earlier copy.
-3. Only possible repeats are verified, exactly, against the rows of the buckets
+1. While scanning, each Arrow batch is reduced to the hashes of its identities with
+   their time bucket (a day of created_at) and whether it holds them more than once,
+   so that an identity that holds a third of all rows shuffles a few rows a batch.
+2. These are spread by hash and sorted by bucket. Each task reads its part as a
+   stream and keeps a Bloom filter for all identities so far and one for each bucket.
+   What the first hasn't seen is new, definitely, if its batch holds it once. A
+   possible repeat is looked up in the filters of the buckets, which name those that
+   may hold another copy.
+3. Only possible repeats are verified, exactly, against the stored rows of the buckets
    named: dropped is each row for which an earlier row with the same identity is
-   there. False positives of the filters find no such row and stay.
+   there. False positives of the filters, and different identities with one hash,
+   find no such row and stay.
 
-A filter has no false negatives, so no repeat is missed; its size follows the rows
-of its part, about 2 bytes each.
+No row is dropped without having been named by a filter, and no step depends on how
+rows are batched or on their order within a bucket. A filter has no false negatives,
+so no repeat is missed. Both filters together take 4 to 8 bytes an identity of the
+part, as they double when full; parts follow spark.sql.shuffle.partitions.
 
 Defined results: of each message the row with the least created_at stays, then the
 least delivery_id; null created_at counts as later than all others, null
@@ -38,7 +42,7 @@ from aerolith.sources.tables import micros, shuffle_width
 
 BUCKET_US = 86_400_000_000
 LAST = (1 << 63) - 1
-NARROW = "kh bigint, identity string, bucket bigint, created bigint, delivery bigint"
+NARROW = "kh bigint, bucket bigint, again boolean"
 
 
 class Bloom:
@@ -60,16 +64,19 @@ class Bloom:
             rest = np.flatnonzero(~out)
             if not len(rest):
                 break
-            out[rest] = bits[self._at(hashes[rest], len(bits))].all(axis=1)
+            at = self._at(hashes[rest], len(bits) * 8)
+            out[rest] = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
         return out
 
     def add(self, hashes: np.ndarray) -> None:
         while len(hashes):
             if not self.left:
-                self.slices.append(np.zeros(1 << (self.capacity * self.bits_each - 1).bit_length(), bool))
+                self.slices.append(np.zeros(1 << (self.capacity * self.bits_each - 1).bit_length() - 3, np.uint8))
                 self.left, self.capacity = self.capacity, self.capacity * 2
             now, hashes = hashes[: self.left], hashes[self.left :]
-            self.slices[-1][self._at(now, len(self.slices[-1])).ravel()] = True
+            bits = self.slices[-1]
+            at = self._at(now, len(bits) * 8).ravel()
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
             self.left -= len(now)
 
 
@@ -80,79 +87,57 @@ def identity(id_col: str = "id", ts_col: str = "timestamp", text_col: str = "raw
     return F.when(unusable, F.concat(F.lit("t:"), part(micros(f"`{ts_col}`").cast("string")), F.lit(":"), part(F.sha2(F.col(f"`{text_col}`"), 256)))).otherwise(F.concat(F.lit("i:"), F.col(f"`{id_col}`").cast("string")))
 
 
-def _first_of(batch: pa.RecordBatch) -> np.ndarray:
-    """Of each identity of the batch the row with the least (created, delivery), as a mask."""
-    kh, created, delivery = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4))
-    names = batch.column(1)
-    order = np.lexsort((delivery, created, kh))
-    same = np.zeros(len(order), bool)
-    same[1:] = kh[order][1:] == kh[order][:-1]
-    first = np.ones(len(order), bool)
-    if same.any():
-        ids = names.take(pa.array(order)).to_pylist()
-        start = 0
-        for i in range(1, len(order) + 1):  # runs of equal hashes; identities decide
-            if i == len(order) or not same[i]:
-                if i - start > 1:
-                    seen: dict[str, int] = {}
-                    for j in range(start, i):
-                        k = order[j]
-                        if ids[j] in seen and delivery[k] != delivery[seen[ids[j]]]:
-                            first[k] = False
-                        else:
-                            seen.setdefault(ids[j], k)
-                start = i
-    return first
-
-
 def repeats(messages: DataFrame, id_col: str = "id", ts_col: str = "timestamp", text_col: str = "raw_text", created_col: str = "created_at", delivery_col: str = "delivery_id", bucket_us: int = BUCKET_US) -> DataFrame:
     """(delivery_id): the rows to be dropped."""
     spark = messages.sparkSession
     created = F.coalesce(micros(f"`{created_col}`"), F.lit(LAST))
-    narrow = messages.select(identity(id_col, ts_col, text_col).alias("identity"), created.alias("created"), F.coalesce(F.col(f"`{delivery_col}`").cast("bigint"), F.lit(LAST)).alias("delivery")).select(
+    rows = messages.select(identity(id_col, ts_col, text_col).alias("identity"), created.alias("created"), F.coalesce(F.col(f"`{delivery_col}`").cast("bigint"), F.lit(LAST)).alias("delivery")).select(
         F.xxhash64("identity").alias("kh"), "identity", F.floor(F.col("created") / bucket_us).cast("bigint").alias("bucket"), "created", "delivery"
     )
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_first_of(batch))], [*batch.schema.names, "first"])
-
-    settled = narrow.mapInArrow(settle, f"{NARROW}, first boolean")
-    spread = settled.where("first").drop("first").repartition(shuffle_width(spark), "kh").sortWithinPartitions("created", "delivery")
+            kh, bucket = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.lexsort((kh, bucket))
+            kh, bucket = kh[order], bucket[order]
+            starts = np.flatnonzero(np.concatenate([[True], (kh[1:] != kh[:-1]) | (bucket[1:] != bucket[:-1])])) if len(kh) else np.zeros(0, np.int64)
+            n = np.diff(np.append(starts, len(kh)))
+            yield pa.RecordBatch.from_arrays([pa.array(kh[starts]), pa.array(bucket[starts]), pa.array(n > 1)], ["kh", "bucket", "again"])
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, of = Bloom(), {}
         for batch in batches:
             kh = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            bucket = batch.column(2).to_numpy(zero_copy_only=False)
-            maybe = every.has(kh)
-            _, at = np.unique(kh, return_index=True)
-            again = np.ones(len(kh), bool)
-            again[at] = False  # a later row of the batch with a hash of the batch
-            look = np.flatnonzero(maybe | again)
-            hits: list[list[int]] = [[] for _ in look]
-            if len(look):
-                for b, bloom in of.items():
-                    for i in np.flatnonzero(bloom.has(kh[look])):
-                        hits[i].append(b)
-            for b in np.unique(bucket):
-                mine = kh[bucket == b]
-                of.setdefault(int(b), Bloom(512)).add(mine)
-                inside = np.isin(kh[look], mine)
-                for i in np.flatnonzero(inside & again[look]):
-                    if int(b) not in hits[i]:
-                        hits[i].append(int(b))
-            every.add(kh)
-            part = batch.take(pa.array(look))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, pa.list_(pa.int64()))], [*batch.schema.names, "hits"])
-
-    maybe = spread.mapInArrow(screen, f"{NARROW}, hits array<bigint>")
-    # Exact verification: only against rows of the buckets named, and only of the identities in doubt.
-    wanted = maybe.select("kh", "identity", F.explode("hits").alias("bucket")).distinct()
-    stored = settled.where("first").select("kh", "identity", "bucket", "created", "delivery")
-    first = stored.join(wanted, ["kh", "identity", "bucket"], "left_semi").groupBy("kh", "identity").agg(F.min(F.struct("created", "delivery")).alias("least"))
-    late = maybe.join(first, ["kh", "identity"]).where(F.struct("created", "delivery") > F.col("least")).select("delivery")
-    return settled.where("NOT first").select("delivery").unionByName(late).select(F.nullif(F.col("delivery"), F.lit(LAST)).alias(delivery_col))
+            bucket, again = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+            hashes, named = [], []
+            for a, b in zip(starts, [*starts[1:], len(bucket)]):  # bucket by bucket, so that a filter knows those before
+                mine, day = kh[a:b], int(bucket[a])
+                _, first, back = np.unique(mine, return_index=True, return_inverse=True)
+                twice = again[a:b] | (first[back] != np.arange(b - a))
+                seen = every.has(mine)
+                look = np.flatnonzero(seen | twice)
+                if len(look):
+                    hashes.append(mine[look])
+                    named.append(np.full(len(look), day))
+                    doubt = mine[look]
+                    for d, bloom in of.items():
+                        hit = doubt[bloom.has(doubt)]
+                        hashes.append(hit)
+                        named.append(np.full(len(hit), d))
+                new = mine[np.sort(first)]
+                of.setdefault(day, Bloom(512)).add(new)
+                every.add(new[~every.has(new)])
+            out = (np.concatenate(hashes), np.concatenate(named)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].astype(np.int64))], ["kh", "bucket"])
+
+    reduced = rows.select("kh", "bucket").mapInArrow(reduce, NARROW)
+    wanted = reduced.repartition(shuffle_width(spark), "kh").sortWithinPartitions("bucket").mapInArrow(screen, "kh bigint, bucket bigint").distinct()
+    # Exact verification: only rows of the buckets named, and only of the identities in doubt.
+    stored = rows.join(wanted, ["kh", "bucket"], "left_semi")
+    least = stored.groupBy("kh", "identity").agg(F.min(F.struct("created", "delivery")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = stored.join(least, ["kh", "identity"]).where(F.struct("created", "delivery") > F.col("least"))
+    return late.select(F.nullif(F.col("delivery"), F.lit(LAST)).alias(delivery_col))
 
 
 def unique(messages: DataFrame, delivery_col: str = "delivery_id", **columns: str) -> DataFrame:
