@@ -3,12 +3,15 @@
 For each value all valid interpretations are generated: (instant, format, cost). An
 interpretation that keeps the rules of the feed (the date order of the station's
 zone, the first of two equal local times, a bare number's usual unit, day-hour-minute
-groups) costs nothing, one that departs from them much. Values of one source, in
+groups) costs nothing, one that departs from them much. Where no rule says which one
+holds, all cost nothing: slash dates with a zone of their own from stations of unknown
+zone may have the day or the month first, and some abbreviations name several zones
+(CST, IST, BST, AST) of which the place doesn't keep one. Values of one source, in
 record order, are then chosen together by Viterbi: a switch of format between
-neighbours and a step back in time cost a little, so that they decide only among
-interpretations the rules leave equal. Sources are cut into blocks of bounded size
-with a halo (see `ordered`); at a value with one interpretation, as nearly all are,
-the path does not depend on what lies before, so blocks agree.
+neighbours and a step back in time cost a little, so that the records around a value
+decide among interpretations the rules leave equal. Sources are cut into blocks of
+bounded size with a halo (see `ordered`); at a value with one interpretation, as nearly
+all are, the path does not depend on what lies before, so blocks agree.
 
 Rules: without zone, a date and time is local, at the station for the message's own
 time, at origin and destination for departure and arrival. A time of day alone, or
@@ -16,9 +19,9 @@ with a day of the month, is the first such moment at or after the message's time
 UTC unless marked as local. Local times that occur twice mean the first, those that
 were skipped nothing.
 
-Defined results: null, empty, blank, placeholder and impossible values, and values
-longer than 64 characters, denote nothing and give no row; so do local values whose
-place has no known zone, slash dates at unknown stations, and times of day of messages
+Defined results: null, empty, blank, placeholder and impossible values (no format has
+more than 64 characters, blanks around it aside) denote nothing and give no row; so do local values whose
+place has no known zone, slash dates without zone of such places, and times of day of messages
 without a usable time. Null sources are one source; null ids come first. Repeated rows
 each give their rows. Empty tables give no rows.
 """
@@ -35,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.ordered import blocks
+from aerolith.sources.tables import shuffle_width
 
 BLOCK, HALO = 20_000, 32
 ODD = 20.0  # cost of an interpretation against the rules
 SWITCH, BACK = 0.5, 0.5
-MAX_PLACES = 100_000
 EPOCH = datetime(1970, 1, 1)
 US = timedelta(microseconds=1)
 
@@ -49,12 +52,14 @@ ZONES = {
     "AWST": 8, "ACST": 9.5, "ACDT": 10.5, "AEST": 10, "AEDT": 11, "NZST": 12, "NZDT": 13, "NST": -3.5, "NDT": -2.5, "AST": -4, "ADT": -3, "EST": -5, "EDT": -4,
     "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10,
 }
+# Abbreviations in use for several zones, with the hours of the others.
+OTHER_ZONES = {"CST": (8, -5), "IST": (1, 2), "BST": (6,), "AST": (3,)}
 MONTHS = {m: i + 1 for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split())}
 
 _clock = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _iso = re.compile(rf"(\d{{4}})-(\d{{2}})-(\d{{2}})[T ]{_clock} ?(Z|[+-]\d{{2}}:?\d{{2}}|[A-Z]{{2,5}})?")
 _basic = re.compile(r"(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z|[+-]\d{2}:?\d{2})?")
-_slash = re.compile(rf"(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_clock} ?(AM|PM)?")
+_slash = re.compile(rf"(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_clock} ?(AM|PM)? ?(Z|UTC|GMT|[+-]\d{{2}}:?\d{{2}})?")
 _mail = re.compile(r"(?:[A-Z]{3}, ?)?(\d{1,2}) ([A-Z]{3}) (\d{4}) (\d{2}):(\d{2})(?::(\d{2}))? ?([+-]\d{2}:?\d{2}|[A-Z]{1,4})")
 _short = re.compile(r"(\d{2})([A-Z]{3})(\d{2}) (\d{2})(\d{2})(Z)?")
 _number = re.compile(r"\d{9,20}(?:\.\d{1,9})?")
@@ -99,47 +104,56 @@ def _moment(y, mo, d, h, mi, s, fraction=None) -> datetime | None:
         return None
 
 
-def _offset(text: str) -> timedelta | None:
+def _offsets(text: str, moment: datetime, zone: ZoneInfo | None) -> list[timedelta]:
+    """The offsets a zone mark may stand for at a local time: one, that of the place if it is among several, or all of them."""
     if text[0] in "+-":
         hours, minutes = int(text[1:3]), int(text[-2:])
         if hours > 15 or minutes > 59:
-            return None
-        return timedelta(hours=hours, minutes=minutes) * (1 if text[0] == "+" else -1)
-    return timedelta(hours=ZONES[text]) if text in ZONES else None
+            return []
+        return [timedelta(hours=hours, minutes=minutes) * (1 if text[0] == "+" else -1)]
+    if text not in ZONES:
+        return []
+    every = [timedelta(hours=h) for h in (ZONES[text], *OTHER_ZONES.get(text, ()))]
+    if len(every) > 1 and zone is not None:
+        try:
+            here = moment.replace(tzinfo=zone)
+            kept = [x for x in every if here.tzname() == text and here.utcoffset() == x]
+        except OverflowError:
+            kept = []
+        return kept or every[:1]  # elsewhere, the usual one
+    return every
 
 
 def _zoned(moment: datetime | None, mark: str | None, zone: ZoneInfo | None, form: str) -> list[tuple[int, str, float]]:
     if moment is None:
         return []
     if mark:
-        offset = _offset(mark)
         try:
-            return [] if offset is None else [(_us(moment - offset), form + "+", 0.0)]
+            return [(_us(moment - offset), f"{form}+{i or ''}", 0.0) for i, offset in enumerate(_offsets(mark, moment, zone))]
         except OverflowError:
             return []
     return [(us, form, cost) for us, cost in local(moment, zone)]
 
 
-def full(value: str, zone_name: str | None) -> list[tuple[int, str, float]]:
-    """Interpretations of a value that has a date, or is a bare number."""
+def full(value: str, zone_name: str | None, station_zone: str | None) -> list[tuple[int, str, float]]:
+    """Interpretations of a value that has a date, or is a bare number; the station's zone tells the order of its dates."""
     zone = zone_of(zone_name)
     if m := _iso.fullmatch(value):
         return _zoned(_moment(*m.groups()[:7]), m[8], zone, "iso")
     if m := _basic.fullmatch(value):
         return _zoned(_moment(*m.groups()[:6]), m[7], zone, "basic")
     if m := _slash.fullmatch(value):
-        a, b, y, h, mi, s, fraction, half = m.groups()
+        a, b, y, h, mi, s, fraction, half, mark = m.groups()
         if half:
             if not 1 <= int(h) <= 12:
                 return []
             h = int(h) % 12 + 12 * (half == "PM")
-        month_first = (zone_name or "").startswith("America/")
+        usual = None if not station_zone else "month/day" if station_zone.startswith("America/") else "day/month"
         out = []
         for mo, d, form in ((a, b, "month/day"), (b, a, "day/month")):
-            cost = 0.0 if month_first == (form == "month/day") else None
-            if cost is not None:  # the date order is a rule without exception: the other one isn't valid
-                out += [(us, form, c + cost) for us, _, c in _zoned(_moment(y, mo, d, h, mi, s, fraction), None, zone, form)]
-        return out
+            out += [(us, form, c + (ODD if usual and form != usual else 0.0)) for us, _, c in _zoned(_moment(y, mo, d, h, mi, s, fraction), mark, zone, form)]
+        # A date that is impossible in the order of its station denotes nothing.
+        return out if any(c < ODD for _, _, c in out) else []
     if m := _mail.fullmatch(value):
         d, mo, y, h, mi, s, mark = m.groups()
         return _zoned(_moment(y, MONTHS[mo], d, h, mi, s), mark, zone, "mail") if mo in MONTHS else []
@@ -208,12 +222,12 @@ def partial(value: str, zone_name: str | None, at: int | None) -> list[tuple[int
     return out if rules else []
 
 
-def interpretations(value: str | None, zone_name: str | None, at: int | None = None, own: bool = False) -> list[tuple[int, str, float]]:
-    """All valid interpretations; `own`: the message's own time, which must have a date."""
-    if value is None or len(value) > 64:
+def interpretations(value: str | None, zone_name: str | None, at: int | None = None, own: bool = False, station_zone: str | None = None) -> list[tuple[int, str, float]]:
+    """All valid interpretations; `own`: the message's own time, which must have a date and is that of its station."""
+    if value is None or len(value := value.strip()) > 64:
         return []
-    text = value.strip().upper()
-    return full(text, zone_name) or ([] if own else partial(text, zone_name, at))
+    text = value.upper()
+    return full(text, zone_name, zone_name if own else station_zone) or ([] if own else partial(text, zone_name, at))
 
 
 def viterbi(values: list[list[tuple[int, str, float]]]) -> list[int | None]:
@@ -252,23 +266,22 @@ def instants(inbound: DataFrame, stations: DataFrame, airports: DataFrame) -> Da
     """(id, field_name, utc_ms) of each value that denotes an instant."""
 
     def zones(places: DataFrame, code: str, name: str) -> DataFrame:
-        small = places.where(f"{code} IS NOT NULL").groupBy(F.col(code).alias(f"__{name}")).agg(F.min("tz").alias(name))
-        return F.broadcast(small) if small.limit(MAX_PLACES + 1).count() <= MAX_PLACES else small
+        return places.where(f"{code} IS NOT NULL").groupBy(F.col(code).alias(f"__{name}")).agg(F.min("tz").alias(name))
 
     rows = inbound.select(
-        "id", F.coalesce("id", F.lit(-1)).alias("ord"), F.coalesce("source", F.lit("")).alias("source"), *[F.col(f).cast("string").alias(f) for f in FIELDS], "station_ident", "origin", "destination"
+        "id", F.coalesce("id", -F.pmod(F.xxhash64(*FIELDS), F.lit(1 << 40)) - 1).alias("ord"), F.coalesce("source", F.lit("")).alias("source"), *[F.col(f).cast("string").alias(f) for f in FIELDS], "station_ident", "origin", "destination"
     )
     for column, places, code, name in (("station_ident", stations, "ident", "tz0"), ("origin", airports, "icao", "tz1"), ("destination", airports, "icao", "tz2")):
         known = zones(places, code, name)
         rows = rows.join(known, F.col(column) == F.col(f"__{name}"), "left").drop(f"__{name}", column)
-    cut = blocks(rows, "source", ["ord", *FIELDS], F.floor(F.col("ord") / 10_000), BLOCK, HALO)
+    cut = blocks(rows, "source", ["ord", *FIELDS], F.floor(F.col("ord") / F.when(F.col("ord") < 0, F.lit(1 << 30)).otherwise(F.lit(10_000))), BLOCK, HALO).repartition(shuffle_width(inbound.sparkSession), "source", "block")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         plain = {c: [None if x is None or x != x else x for x in pdf[c]] for c in (*FIELDS, "tz0", "tz1", "tz2")}
         chosen = {"timestamp": viterbi([interpretations(v, z, own=True) for v, z in zip(plain["timestamp"], plain["tz0"])])}
         for field, tz in (("departure_time", "tz1"), ("eta", "tz2")):
-            chosen[field] = viterbi([interpretations(v, z, at) for v, z, at in zip(plain[field], plain[tz], chosen["timestamp"])])
+            chosen[field] = viterbi([interpretations(v, z, at, station_zone=s) for v, z, at, s in zip(plain[field], plain[tz], chosen["timestamp"], plain["tz0"])])
         out = [(i, f, us // 1000) for f in FIELDS for i, core, us in zip(pdf["id"], pdf["is_core"], chosen[f]) if core and us is not None]
         made = pd.DataFrame(out, columns=["id", "field_name", "utc_ms"])
         return made.astype({"id": "Int64", "utc_ms": "int64"})

@@ -133,7 +133,7 @@ def test_matching_is_best():
 )
 def test_interpretations(value, zone, at, expected):
     us = None if at is None else instants._us(datetime.fromisoformat(at))
-    found = instants.viterbi([instants.interpretations(value, zone, us)])[0]
+    found = instants.viterbi([instants.interpretations(value, zone, us, station_zone=zone)])[0]
     assert (None if found is None else found // 1000) == (None if expected is None else instants._us(datetime.fromisoformat(expected)) // 1000)
 
 
@@ -155,6 +155,27 @@ def test_viterbi_prefers_the_same_format():
     assert instants.viterbi([[(50, "b", 0.0)], both, [(120, "b", 0.0)]]) == [50, 90, 120]
 
 
+def test_viterbi_decides_what_no_rule_settles(spark):
+    """Slash dates with a zone of their own from stations of unknown zone: the records around them tell the order."""
+    schema = "id long, source string, station_ident string, timestamp string, tail string, label string, origin string, destination string, departure_time string, eta string"
+    places = "ident string, icao string, tz string"
+    none = spark.createDataFrame([], places)
+    stamps = {"a": ["25/03/2025 10:00Z", "04/04/2025 10:00Z", "05/04/2025 10:00Z"], "b": ["03/25/2025 10:00Z", "04/04/2025 10:00Z", "04/05/2025 10:00Z"]}
+    rows = [(100 * j + i, source, None, t, None, None, None, None, None, None) for j, (source, ts) in enumerate(stamps.items()) for i, t in enumerate(ts)]
+    found = {r.id: r.utc_ms for r in instants.instants(spark.createDataFrame(rows, schema), none, none).collect()}
+    ms = lambda d: instants._us(datetime.fromisoformat(d)) // 1000
+    expected = [ms("2025-03-25T10:00"), ms("2025-04-04T10:00"), ms("2025-04-05T10:00")]
+    assert [found[i] for i in range(3)] == expected and [found[100 + i] for i in range(3)] == expected
+    alone = [instants.viterbi([instants.interpretations(t, None, own=True)])[0] // 1000 for t in stamps["a"]]
+    assert alone != expected  # the value alone doesn't tell
+
+
+def test_padded_values_and_the_date_order_of_the_station():
+    assert instants.viterbi([instants.interpretations(" " * 80 + "2025-03-01T10:00:00Z" + " " * 80, None)])[0] is not None
+    day_first = instants.viterbi([instants.interpretations("04/05/2025 10:00", "America/Chicago", station_zone="Europe/Paris")])[0]
+    assert day_first == instants._us(datetime(2025, 5, 4, 15, 0))
+
+
 # 1 and 6
 
 
