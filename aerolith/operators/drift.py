@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from aerolith.operators.shred import parse
 
 HIST, MINS = 32, 16
+_digit, _letter = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 TYPES = ("array", "boolean", "number", "object", "string")
 FAR = (1 << 62) - 1
 PARTS = {"wrapper": "airframe", "log": "parsed_json"}
@@ -45,23 +47,27 @@ def type_of(value) -> str:
     return {str: "string", int: "number", float: "number", dict: "object", list: "array"}[type(value)]
 
 
-def fields(record, part: str) -> Iterator[tuple[str, object]]:
-    """(path, value) of the non-null fields of one part of a record, with those of objects inside arrays."""
+def places(record, part: str) -> Iterator[tuple[str, str, object]]:
+    """(path, place, value) of the non-null fields of one part of a record, with those of objects inside arrays, whose place is that in each array: `[0]`."""
     inner = record.get(part) if isinstance(record, dict) else None
     if isinstance(inner, str):
         inner = parse(inner)
     if not isinstance(inner, dict):
         return
-    todo = [(f"{part}.{k}", v) for k, v in inner.items()]
+    todo = [(f"{part}.{k}", "", v) for k, v in inner.items()]
     while todo:
-        path, value = todo.pop()
+        path, place, value = todo.pop()
         if value is None:
             continue
-        yield path, value
+        yield path, place, value
         if isinstance(value, list):
-            for item in value:
+            for i, item in enumerate(value):
                 if isinstance(item, dict):
-                    todo += [(f"{path}.{k}", v) for k, v in item.items()]
+                    todo += [(f"{path}.{k}", f"{place}[{i}]", v) for k, v in item.items()]
+
+
+def fields(record, part: str) -> Iterator[tuple[str, object]]:
+    return ((path, value) for path, _, value in places(record, part))
 
 
 def kind_of(value) -> str:
@@ -69,7 +75,7 @@ def kind_of(value) -> str:
     if isinstance(value, bool):
         return "bool"
     if isinstance(value, str):
-        return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", value))[:40]
+        return _letter.sub("A", _digit.sub("9", value))
     if isinstance(value, dict):
         return "{" + ",".join(sorted(value)) + "}"
     if isinstance(value, list):
@@ -79,15 +85,16 @@ def kind_of(value) -> str:
     return f"{size}{whole}{math.floor(math.log2(abs(value) + 1)) if math.isfinite(float(value)) else 'x'}"
 
 
-def _hashes(text: str) -> list[int]:
-    low, high = zlib.crc32(text.encode("utf-8", "surrogatepass")), zlib.adler32(text.encode("utf-8", "surrogatepass")[::-1]) | 1
-    out = []
-    for i in range(MINS):
-        x = (low * 0x9E3779B97F4A7C15 + (i + 1) * high * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-        x ^= x >> 29
-        x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        out.append((x ^ x >> 32) & FAR)
-    return out
+def _hashes(texts: list[str]) -> np.ndarray:
+    """MINS hash values of each text."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    low = np.array([zlib.crc32(t) for t in raw], np.uint64)[:, None]
+    high = np.array([zlib.adler32(t[::-1]) | 1 for t in raw], np.uint64)[:, None]
+    with np.errstate(over="ignore"):
+        x = low * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, MINS + 1, dtype=np.uint64) * high * np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(32)) & np.uint64(FAR)).astype(np.int64)
 
 
 def profiles(records: DataFrame, parts: dict[str, str] = PARTS) -> DataFrame:
@@ -98,30 +105,39 @@ def profiles(records: DataFrame, parts: dict[str, str] = PARTS) -> DataFrame:
     schema = "feed_id string, file_seq bigint, file_name string, path string, " + ", ".join(f"{c} bigint" for c in counters + mins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(TYPES) + HIST
         for batch in batches:
-            made: dict[tuple, list[int]] = {}
-            seen: dict[tuple[str, str], list[int]] = {}
-            for feed, seq, name, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
+            groups: dict[tuple, int] = {}
+            known: dict[tuple[str, object], tuple[int, int, int]] = {}  # a value's type, bin and number
+            texts: dict[str, int] = {}
+            group, kind, value = [], [], []
+            for feed, seq, name, record_kind, text in zip(*(c.to_pylist() for c in batch.columns)):
                 record = parse(text)
                 if record is None:
                     continue
-                made.setdefault((feed, seq, name, ""), [0] * len(counters) + [FAR] * MINS)
-                for path, value in fields(record, parts.get(kind, "")):
-                    row = made.get((feed, seq, name, path))
-                    if row is None:
-                        row = made[(feed, seq, name, path)] = [0] * len(counters) + [FAR] * MINS
-                    kinds = kind_of(value)
-                    row[TYPES.index(type_of(value))] += 1
-                    row[len(TYPES) + zlib.crc32(kinds.encode("utf-8", "surrogatepass")) % HIST] += 1
-                    plain = value if isinstance(value, str) else json.dumps(value)
-                    if (kinds, plain) not in seen:
-                        seen[(kinds, plain)] = _hashes(plain)
-                    for i, h in enumerate(seen[(kinds, plain)], len(counters)):
-                        if h < row[i]:
-                            row[i] = h
-            columns = list(zip(*([*k, *v] for k, v in made.items()))) or [()] * (4 + len(counters) + MINS)
-            types = [pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.int64()] * (len(counters) + MINS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*keys, *counters, *mins])
+                groups.setdefault((feed, seq, name, ""), len(groups))
+                for path, v in fields(record, parts.get(record_kind, "")):
+                    what = type_of(v)
+                    plain = v if what == "string" else json.dumps(v)
+                    found = known.get((what, plain))
+                    if found is None:
+                        found = known[what, plain] = (TYPES.index(what), len(TYPES) + zlib.crc32(kind_of(v).encode("utf-8", "surrogatepass")) % HIST, texts.setdefault(plain, len(texts)))
+                    g = groups.setdefault((feed, seq, name, path), len(groups))
+                    group += (g, g)
+                    kind += found[:2]
+                    value.append(found[2])
+            n = len(groups)
+            counts = np.bincount(np.array(group, np.int64) * width + np.array(kind, np.int64), minlength=n * width).reshape(n, width)
+            least = np.full((n, MINS), FAR, np.int64)
+            if value:
+                pairs = np.unique(np.array(group[::2], np.int64) * len(texts) + np.array(value, np.int64))
+                at = pairs // len(texts)
+                starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                least[at[starts]] = np.minimum.reduceat(_hashes(list(texts))[pairs % len(texts)], starts, axis=0)
+            named = list(zip(*groups)) or [()] * 4
+            types = [pa.string(), pa.int64(), pa.string(), pa.string()]
+            columns = [pa.array(c, t) for c, t in zip(named, types)] + [pa.array(counts[:, i]) for i in range(width)] + [pa.array(least[:, i]) for i in range(MINS)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *counters, *mins])
 
     narrow = records.select(
         F.coalesce("feed_id", F.lit("")).alias("feed_id"), F.coalesce(F.col("file_seq").cast("bigint"), F.lit(-1)).alias("file_seq"), F.coalesce("file_name", F.lit("")).alias("file_name"), "record_kind", F.col("payload").cast("string").alias("payload")
@@ -234,35 +250,35 @@ CHANGES = "feed_id string, file_seq bigint, file_name string, change_kind string
 
 
 def changes(profiled: DataFrame) -> DataFrame:
-    """feed_id, file_seq, file_name, change_kind, old_path, new_path of each change of a field, at the file it begins in."""
-    files = profiled.where("path = ''").groupBy("feed_id", "file_seq").agg(F.min("file_name").alias("file_name"))
-    order = Window.partitionBy("feed_id").orderBy("file_seq")  # over files, not rows
-    steps = files.select("feed_id", "file_seq", "file_name", F.lag("file_seq").over(order).alias("before")).where("before IS NOT NULL")
-    merged = (
-        profiled.where("path <> ''").groupBy("feed_id", "file_seq", "path").agg(F.max_by("type", "file_name").alias("type"), F.max_by("kinds", "file_name").alias("kinds"), F.max_by("mins", "file_name").alias("mins"))
-    )
-    new = merged.join(steps, ["feed_id", "file_seq"])
-    old = merged.withColumnRenamed("file_seq", "before").join(steps, ["feed_id", "before"])
-    both = (
-        new.select("feed_id", "file_seq", "file_name", "path", F.struct("path", "type", "kinds", "mins").alias("new"))
-        .join(old.select("feed_id", "file_seq", F.col("file_name").alias("f2"), "path", F.struct("path", "type", "kinds", "mins").alias("old")), ["feed_id", "file_seq", "path"], "full")
-        .withColumn("file_name", F.coalesce("file_name", "f2"))
-    )
-    typed = both.where("new.type <> old.type").select("feed_id", "file_seq", "file_name", F.lit("type_changed").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
-    single = both.where("new IS NULL OR old IS NULL").select("feed_id", "file_seq", "file_name", "old", "new")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        olds = [x for x in pdf["old"] if x is not None]
-        news = [x for x in pdf["new"] if x is not None]
+    """feed_id, file_seq, file_name, change_kind, old_path, new_path of each change of a field, at the file it begins in.
+
+    Every profile goes to its own file and, as what was before, to the next one, so that profiles are read once.
+    """
+    order = Window.partitionBy("feed_id").orderBy("file_seq")  # over profiles, not rows
+    placed = profiled.withColumn("place", F.dense_rank().over(order))
+    sides = F.explode(F.array(F.struct(F.col("place").alias("at"), F.lit(True).alias("is_new")), F.struct((F.col("place") + 1).alias("at"), F.lit(False).alias("is_new"))))
+    both = placed.select("feed_id", "file_seq", "file_name", "path", "type", "kinds", "mins", sides.alias("side")).select("*", "side.*").drop("side")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = ["feed_id", "file_seq", "file_name", "change_kind", "old_path", "new_path"]
+        side = {}
+        for is_new, rows in pdf.sort_values("file_name").groupby("is_new"):
+            side[bool(is_new)] = {p: {"path": p, "type": t, "kinds": k, "mins": m} for p, t, k, m in zip(rows["path"], rows["type"], rows["kinds"], rows["mins"])}  # of several names, the last one's
+        if len(side) < 2 or "" not in side[True] or "" not in side[False]:
+            return pd.DataFrame([], columns=names)
+        first = pdf[pdf["is_new"] & (pdf["path"] == "")].sort_values("file_name").iloc[0]
+        old, new = side[False], side[True]
+        rows = [("type_changed", p, p) for p in new if p and p in old and old[p]["type"] != new[p]["type"]]
+        olds, news = [old[p] for p in sorted(old) if p not in new], [new[p] for p in sorted(new) if p not in old]
         weights = {(i, j): w for i, o in enumerate(olds) for j, n in enumerate(news) if (w := similarity(o, n)) > 0}
         pairs = matching(weights)
         gone, come = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [("renamed", olds[i]["path"], news[j]["path"]) for i, j in pairs]
+        rows += [("renamed", olds[i]["path"], news[j]["path"]) for i, j in pairs]
         rows += [("removed", o["path"], "") for i, o in enumerate(olds) if i not in gone]
         rows += [("added", "", n["path"]) for j, n in enumerate(news) if j not in come]
-        return pd.DataFrame([(pdf["feed_id"].iloc[0], pdf["file_seq"].iloc[0], pdf["file_name"].iloc[0], *r) for r in rows], columns=["feed_id", "file_seq", "file_name", "change_kind", "old_path", "new_path"])
+        return pd.DataFrame([(first["feed_id"], first["file_seq"], first["file_name"], *r) for r in rows], columns=names)
 
-    return single.groupBy("feed_id", "file_seq").applyInPandas(match, CHANGES).unionByName(typed)
+    return both.groupBy("feed_id", "at").applyInPandas(compare, CHANGES)
 
 
 def canonical(changed: DataFrame) -> DataFrame:
@@ -287,25 +303,35 @@ def canonical(changed: DataFrame) -> DataFrame:
 
 
 def unified(records: DataFrame, id_col: str = "record_id", parts: dict[str, str] = PARTS) -> DataFrame:
-    """One row a record and field under its first name, with the value as text: (id, feed_id, file_seq, name, path, type, value)."""
-    renames = canonical(changes(profiles(records, parts)))
+    """One row a record and field under the field's first name: (id, feed_id, file_seq, name, place, path, type, common_type, value).
+
+    Fields of objects inside arrays have rows of their own, with their place; the array's row has no value then.
+    common_type is the type if the field has only one in all files of its feed, else string; value is the value as text
+    of that type. A record without any field has one row with null name.
+    """
+    profiled = profiles(records, parts)
+    renames = canonical(changes(profiled)).select("feed_id", "path", "from_seq", "to_seq", "name")
+
+    def named(rows: DataFrame) -> DataFrame:
+        seq = F.col("file_seq")
+        on = (rows.feed_id == renames.feed_id) & (rows.path == renames.path) & (seq >= renames.from_seq) & (renames.to_seq.isNull() | (seq < renames.to_seq))
+        return rows.join(renames, on, "left").select(*[rows[c] for c in rows.columns], F.coalesce(renames.name, rows.path).alias("name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for rid, feed, seq, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
-                part = parts.get(kind, "")
-                for path, value in fields(parse(text), part):
-                    if path.count(".") == 1:  # fields inside arrays stay in the array's text
-                        rows.append((rid, feed, seq, path, type_of(value), value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)))
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["record_id", "feed_id", "file_seq", "path", "type", "value"])
+                before = len(rows)
+                for path, place, value in places(parse(text), parts.get(kind, "")):
+                    split = isinstance(value, list) and any(isinstance(x, dict) for x in value)
+                    rows.append((rid, feed, seq, path, place, type_of(value), None if split else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)))
+                if len(rows) == before:
+                    rows.append((rid, feed, seq, None, None, None, None))
+            columns = list(zip(*rows)) or [()] * 7
+            types = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["record_id", "feed_id", "file_seq", "path", "place", "type", "value"])
 
     narrow = records.select(F.col(id_col).cast("bigint"), F.coalesce("feed_id", F.lit("")), F.coalesce(F.col("file_seq").cast("bigint"), F.lit(-1)), "record_kind", F.col("payload").cast("string"))
-    long = narrow.mapInArrow(run, "record_id bigint, feed_id string, file_seq bigint, path string, type string, value string")
-    r = renames.select("feed_id", "path", "from_seq", "to_seq", "name")
-    seq = F.col("file_seq")
-    return long.join(r, (long.feed_id == r.feed_id) & (long.path == r.path) & (seq >= r.from_seq) & (r.to_seq.isNull() | (seq < r.to_seq)), "left").select(
-        "record_id", long.feed_id, "file_seq", F.coalesce("name", long.path).alias("name"), long.path, "type", "value"
-    )
+    long = narrow.mapInArrow(run, "record_id bigint, feed_id string, file_seq bigint, path string, place string, type string, value string")
+    types = named(profiled.where("path <> ''").select("feed_id", "file_seq", "path", "type")).groupBy("feed_id", "name").agg(F.when(F.count_distinct("type") == 1, F.first("type")).otherwise(F.lit("string")).alias("common_type"))
+    return named(long).join(types, ["feed_id", "name"], "left").select("record_id", "feed_id", "file_seq", "name", "place", "path", "type", "common_type", "value")
