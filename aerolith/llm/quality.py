@@ -9,8 +9,9 @@ its characters: each line's probabilities count with its length, and a text in w
 prose holds less than half is of the kind that holds most.
 
 The models are fitted on lines of about TEXTS texts at most, chosen by a hash of the id,
-at most LINES of one text and SAMPLE a label; statistics and decisions cover whole
-texts, all of them.
+at most LINES of one text and SAMPLE a label, never on a checked text; statistics and
+decisions cover whole texts, all of them. Statistics are computed for many texts at
+once (see `lines`).
 
 Defined results: null, empty and blank texts have statistics of 0 and no kind. Lines
 longer than PIECE characters are judged piece by piece. The language column is not
@@ -21,9 +22,7 @@ no cases of that kind. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,82 +31,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.boosting import Boosted
-from aerolith.llm.holdout import CHECKED
+from aerolith.llm.holdout import CHECKED, HELD_OUT
+from aerolith.llm.lines import line_statistics, pieces, word_hashes
 from aerolith.sources.tables import spread
 
-TEXTS, SAMPLE, LINES, PIECE = 20_000, 4000, 8, 4000
+TEXTS, SAMPLE, LINES = 20_000, 4000, 8
 KINDS = ("list", "table", "junk")
 MAX_WORDS = 1_000_000
+AT_ONCE, CHARACTERS = 500, 2_000_000  # texts and their characters whose statistics are computed together
 
-_word = re.compile(r"[^\W\d_]+")
-_enumerated = re.compile(r"\s*(?:[-*•·–+>]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\[[ xX]\]|[ivx]{1,5}[.)])\s")
-_field = re.compile(r"\s*[\w ]{1,24}:\s*\S{0,24}\s*")
-_leader = re.compile(r"\.{4,}|_{4,}|\S {3,}\S")
-_dump = re.compile(r"(?:\b[0-9a-fA-F]{2}\b ?){8,}")
-_inside = re.compile(r"[^\W\d_][^\w\s'’.,-][^\W\d_]")
-_tag = re.compile(r"<[^<>]*>|&#?\w+;|\{\{\w*\}\}")
-_digits, _blanks, _upper, _wide, _vowels = (re.compile(p) for p in (r"\d+", r"\s+", r"[A-ZÀ-ÖØ-Þ]+", r"[^\x00-\x7f]+", r"[aeiouáéíóúàâäöüèêëîïôùûãõ]+"))
-_mixed = re.compile(r"\d[A-Za-z]|[a-z][A-Z]|[A-Za-z]\d")
 
+def together(texts: list[list[str]]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts small enough to be put into one set of arrays; a text is never split."""
+    start, held = 0, 0
+    for i, lines in enumerate(texts):
+        size = sum(map(len, lines))
+        if i > start and (i - start >= AT_ONCE or held + size > CHARACTERS):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if len(texts) > start:
+        yield start, len(texts)
 
-def _held(pattern: re.Pattern, text: str) -> int:
-    """The characters of a text in matches of a pattern."""
-    return sum(map(len, pattern.findall(text)))
 
-
-def pieces(text: str) -> list[str]:
-    """The lines of a text that are not blank, long ones in pieces."""
+def statistics_of(texts: list[list[str]], common: np.ndarray) -> list[np.ndarray]:
+    """For each text, which must have a line, the statistics of its lines."""
     out = []
-    for line in text.splitlines():
-        if line.strip():
-            out += [line] if len(line) <= PIECE else [p for i in range(0, len(line), PIECE) if (p := line[i : i + PIECE]).strip()]
-    return out
-
-
-def _separators(line: str) -> tuple[int, int, int]:
-    return line.count("\t"), line.count("|"), len(re.findall(r"[,;](?=\S|$)", line))
-
-
-def packed(lines: list[str]) -> float:
-    """The compressed size of a whole text a character, line by line."""
-    squeeze = zlib.compressobj(1)
-    size = sum(len(squeeze.compress((("\n" if i else "") + x).encode("utf-8", "replace"))) for i, x in enumerate(lines)) + len(squeeze.flush())
-    return size / max(40, sum(map(len, lines)) + len(lines) - 1)
-
-
-def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
-    """One row a line; the columns of the second half are those of the whole text."""
-    n = len(lines)
-    words = [_word.findall(x.lower()) for x in lines]
-    separators = [_separators(x) for x in lines]
-    marked = np.array([bool(_enumerated.match(x)) for x in lines], float)
-    named = np.array([bool(_field.fullmatch(x)) for x in lines], float)
-    ends = np.array([x.rstrip()[-1] in ".!?:" for x in lines], float)
-    short = np.array([len(w) <= 5 for w in words], float) * (1 - ends)
-    shared = [sum(w in common for w in ws) / max(1, len(ws)) for ws in words]
-    every = [w for ws in words for w in ws]
-    unique = len({x.strip() for x in lines}) / n
-    rows = Counter(s for s in separators if max(s) > 0)
-    regular = rows.most_common(1)[0][1] / n if rows else 0.0
-    context = [
-        unique, marked.mean(), regular, float(np.median([len(w) for w in words])), sum(w in common for w in every) / max(1, len(every)), np.log1p(n), short.mean(), named.mean(),
-        len(set(every)) / max(1, len(every)), packed(lines), ends.mean(),
-    ]
-    out = np.empty((n, 25 + len(context)))
-    for i, x in enumerate(lines):
-        size, ws = len(x), words[i]
-        letters = sum(map(len, ws))
-        digits = _held(_digits, x)
-        blanks = _held(_blanks, x)
-        tokens = x.split()
-        parts = x.split("; ")
-        out[i] = [
-            size, len(ws), letters / max(1, len(ws)), (size - letters - digits - blanks) / size, digits / size, ends[i], shared[i], marked[i], *separators[i],
-            len(parts) - 1, len(ws) / len(parts), named[i], bool(_leader.search(x)), len(zlib.compress(x.encode("utf-8", "replace"), 1)) / max(40, size),
-            _held(_upper, x) / size, _held(_vowels, x.lower()) / max(1, letters), _held(_wide, x) / size,
-            max(map(len, tokens)), sum(_mixed.search(t) is not None for t in tokens) / max(1, len(tokens)), len(_inside.findall(x)) / max(1, len(ws)), blanks / size, bool(_dump.search(x)), sum(map(len, _tag.findall(x))) / size,
-            *context,
-        ]
+    for a, b in together(texts):
+        x, starts = line_statistics(texts[a:b], common)
+        out += np.split(x, starts[1:])
     return out
 
 
@@ -117,7 +69,7 @@ def weak_label(lines: list[str], x: np.ndarray) -> str | None:
     share = lambda mask: float((size * mask).sum() / size.sum())
     common, unique, packed = x[0, 29], x[0, 25], x[0, 34]
     total = size.sum()
-    if total >= 60 and (share(x[:, 19] >= 60) > 0.9 or (unique < 0.1 and len(lines) >= 8) or packed < 0.1 or share(x[:, 23] > 0) > 0.9 or (share(x[:, 18] > 0.15) > 0.9 and x[:, 6].mean() < 0.2)):
+    if total >= 60 and (share(x[:, 19] >= 60) > 0.9 or (unique < 0.1 and len(lines) >= 8) or packed < 0.05 or share(x[:, 23] > 0) > 0.9 or (share(x[:, 18] > 0.15) > 0.9 and x[:, 6].mean() < 0.2)):
         return "junk"
     if total >= 60 and share(x[:, 24] > 0.5) > 0.9:
         return "junk"
@@ -134,21 +86,23 @@ def weak_label(lines: list[str], x: np.ndarray) -> str | None:
             return "list"
     if share((x[:, 11] >= 3) & (x[:, 12] <= 4.5)) > 0.9:
         return "list"
-    if common > 0.3 and share((x[:, 6] > 0.2) & (x[:, 3] < 0.08) & (x[:, 7] == 0) & (x[:, 11] < 2) & (x[:, 18] < 0.1)) > 0.9 and x[0, 28] >= 5 and packed > 0.15:
+    if common > 0.3 and share((x[:, 6] > 0.2) & (x[:, 3] < 0.08) & (x[:, 7] == 0) & (x[:, 11] < 2) & (x[:, 18] < 0.1)) > 0.9 and x[0, 28] >= 5 and packed > 0.08:
         return "prose"
     return None
 
 
-def _common(words: DataFrame) -> frozenset[str]:
+def _common(words: DataFrame) -> np.ndarray:
     found = words.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().limit(MAX_WORDS + 1).collect()
     if len(found) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} common words")
-    return frozenset(r.word for r in found)
+    return word_hashes(r.word for r in found)
 
 
-def train(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text") -> dict[str, Boosted]:
+def train(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> dict[str, Boosted]:
     """A calibrated model for each kind of which there are weakly labelled lines."""
 
+    checked = frozenset(text for text, _ in CHECKED + HELD_OUT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, keys, rows = [], [], []
@@ -161,21 +115,23 @@ def train(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_
                     rows.append(x[i].tolist())
 
             pure: dict[str, list[list[str]]] = {}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and (lines := pieces(text)):
-                    x = line_statistics(lines, common)
-                    if (label := weak_label(lines, x)) is not None:
-                        take(key, "own", [label] * len(lines), x, LINES)
-                        pure.setdefault(label, []).append(lines[:40])
-                        # With some lines of a text of another kind before or behind it, as texts are often mixed.
-                        others = [k for k in (("prose",) if label != "prose" else KINDS) if k in pure]
-                        if others:
-                            other = others[key % len(others)]
-                            more = pure[other][key % len(pure[other])][: 2 + key % 20]
-                            both, kinds = (lines[:40] + more, [label] * min(40, len(lines)) + [other] * len(more)) if key % 3 else (more + lines[:40], [other] * len(more) + [label] * min(40, len(lines)))
-                            take(key, "mixed", kinds, line_statistics(both, common), LINES)
-                        if len(pure[label]) > 50:
-                            pure[label].pop(0)
+            some = [(key, lines) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text and text not in checked and (lines := pieces(text))]
+            mixed = []
+            for (key, lines), x in zip(some, statistics_of([lines for _, lines in some], common)):
+                if (label := weak_label(lines, x)) is not None:
+                    take(key, "own", [label] * len(lines), x, LINES)
+                    pure.setdefault(label, []).append(lines[:40])
+                    # With some lines of a text of another kind before or behind it, as texts are often mixed.
+                    others = [k for k in (("prose",) if label != "prose" else KINDS) if k in pure]
+                    if others:
+                        other = others[key % len(others)]
+                        more = pure[other][key % len(pure[other])][: 2 + key % 20]
+                        both, kinds = (lines[:40] + more, [label] * min(40, len(lines)) + [other] * len(more)) if key % 3 else (more + lines[:40], [other] * len(more) + [label] * min(40, len(lines)))
+                        mixed.append((key, both, kinds))
+                    if len(pure[label]) > 50:
+                        pure[label].pop(0)
+            for (key, _, kinds), x in zip(mixed, statistics_of([both for _, both, _ in mixed], common)):
+                take(key, "mixed", kinds, x, LINES)
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(keys, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["label", "key", "x"])
 
     narrow = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -193,8 +149,9 @@ def train(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_
     if not sample:
         return {}
     x, y = np.array([r.x for r in sample]), np.array([r.label for r in sample])
-    checked = [(line_statistics(lines, common), kind) for text, kind in CHECKED if (lines := pieces(text))]
-    hx, hy = np.concatenate([s for s, _ in checked]), np.concatenate([[k] * len(s) for s, k in checked])
+    held = [(pieces(text), kind) for text, kind in CHECKED]
+    found = statistics_of([lines for lines, _ in held], common)
+    hx, hy = np.concatenate(found), np.concatenate([[k] * len(x) for x, (_, k) in zip(found, held)])
     return {k: Boosted().fit(x, (y == k).astype(float)).calibrate(hx, (hy == k).astype(float)) for k in KINDS if (y == k).any() and (y != k).any()}
 
 
@@ -219,23 +176,22 @@ def judged(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, models = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                every = [pieces(t) if t else [] for t in part.column(1).to_pylist()]
-                found = [line_statistics(lines, known) if lines else None for lines in every]
-                full = [x for x in found if x is not None]
-                held = line_shares(np.concatenate(full), models) if full else np.zeros((0, 4))
+            every = [pieces(t) if t else [] for t in batch.column(1).to_pylist()]
+            for a, b in together(every):
+                part = batch.slice(a, b - a)
+                full = [lines for lines in every[a:b] if lines]
+                x, starts = line_statistics(full, known) if full else (np.zeros((0, 36)), np.zeros(0, np.int64))
+                held = line_shares(x, models) if len(x) else np.zeros((0, 4))
+                sums = lambda v: np.add.reduceat(v, starts, axis=0) if len(starts) else np.zeros((0, *v.shape[1:]))
+                size, n_words, n = sums(x[:, 0]), sums(x[:, 1]), np.diff(np.append(starts, len(x)))
+                own = sums(held * x[:, :1]) / np.maximum(1, size)[:, None]
+                mean = lambda c, w, total: sums(x[:, c] * w) / np.maximum(1e-9, total)
+                values = np.column_stack([n, n_words, mean(2, x[:, 1], n_words), mean(3, x[:, 0], size), mean(4, x[:, 0], size), sums(x[:, 5]) / np.maximum(1, n), x[starts, 29], x[starts, 33], own])
+                names = ["prose" if p[0] >= 0.5 or not models else KINDS[int(np.argmax(p[1:]))] for p in own]
                 rows, at = [], 0
-                for x in found:
-                    if x is None:
-                        rows.append((*[0.0] * len(STATISTICS), None))
-                        continue
-                    size, n_words = x[:, 0], x[:, 1]
-                    own = size @ held[at : at + len(x)] / size.sum()
-                    at += len(x)
-                    weigh = lambda c, w, x=x: float((x[:, c] * w).sum() / max(1e-9, w.sum()))
-                    name = "prose" if own[0] >= 0.5 or not models else KINDS[int(np.argmax(own[1:]))]
-                    rows.append((float(len(x)), float(n_words.sum()), weigh(2, n_words), weigh(3, size), weigh(4, size), float(x[:, 5].mean()), x[0, 29], x[0, 33], *own.tolist(), name))
+                for lines in every[a:b]:
+                    rows.append((*values[at].tolist(), names[at]) if lines else (*[0.0] * len(STATISTICS), None))
+                    at += bool(lines)
                 columns = list(zip(*rows)) or [()] * (len(STATISTICS) + 1)
                 arrays = [pa.array(c, pa.float64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *STATISTICS, "kind"])
