@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerolith.decoders.controller import message as elements_of
 from aerolith.decoders.engine import Decoder, dispatch, records
 
 GOOD = 0x1D0F
@@ -233,11 +234,10 @@ def dispatch_every(messages: DataFrame, decoders: list[Decoder], keep: tuple[str
 _arrow = pa.list_(pa.struct([("ord", pa.int32()), ("parser", pa.string()), ("result_type", pa.string()), ("result", pa.string())]))
 
 
-# Controller-pilot messages: the frame, the header and the number of the first element.
+# Controller-pilot messages: the frame; `controller` reads the elements.
 
 FRAMES = {"AT1": "cpdlc", "CR1": "connect_request", "CC1": "connect_confirm", "DR1": "disconnect"}
 _frame = re.compile(r"/([A-Z0-9]{4,7})\.([A-Z]{2,3}[0-9])\.(.+)")
-LAST_ELEMENT = {"uplink": 182, "downlink": 128}
 
 
 def split_registration(rest: str) -> tuple[str, str]:
@@ -260,29 +260,6 @@ def direction(label: str | None, block: str | None = None, link: str | None = No
     return "downlink" if label == "AA" else "uplink"
 
 
-def header(payload: bytes, way: str) -> dict:
-    """The message header and the first element's number; ValueError where bits are missing or out of range."""
-    at = 1  # the first bit says whether more than one element follows
-
-    def read(width: int, most: int) -> int:
-        nonlocal at
-        if at + width > len(payload) * 8:
-            raise ValueError("bits are missing")
-        value = bits(payload, at, width)
-        at += width
-        if value > most:
-            raise ValueError(f"{value} is more than {most}")
-        return value
-
-    has_ref, has_time = read(1, 1), read(1, 1)
-    out: dict = {"msg_id": read(6, 63)}
-    if has_ref:
-        out["msg_ref"] = read(6, 63)
-    if has_time:
-        out["timestamp"] = {"hours": read(5, 23), "minutes": read(6, 59), "seconds": read(6, 59)}
-    return {"header": out, "more_elements": bool(payload[0] >> 7), "first_element": read(8, LAST_ELEMENT[way])}
-
-
 def controller(text: str, label: str | None = None, block: str | None = None, link: str | None = None) -> dict | None:
     """The frame of a controller-pilot message; one that can't be read is a record with its error."""
     m = _frame.fullmatch(text)
@@ -301,7 +278,7 @@ def controller(text: str, label: str | None = None, block: str | None = None, li
     out |= {"ground_station": m[1], "registration": registration, "raw_hex": digits, "message_type": FRAMES.get(m[2], "unknown")}
     if out["message_type"] == "cpdlc":
         try:
-            out |= header(payload[:-2], way) if len(payload) > 2 else {"error": "decode_failed"}
+            out |= elements_of(payload[:-2], way)
         except ValueError:
             out["error"] = "decode_failed"
     return out

@@ -219,7 +219,41 @@ def decode_adsc(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
 
 
+def _controller(spark: SparkSession, d: str) -> DataFrame:
+    """Controller-pilot messages with their checksum, written from the keys: uplinks of two elements (climb to a level, then contact a unit on a frequency), downlinks with time and reference (at a place request a climb)."""
+    from aerolith.functions.crc import crc16, hex_bytes, text_bytes
+
+    keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in KEYS.items()])
+    field = lambda e, width: F.lpad(F.bin(F.expr(f"CAST({e} AS BIGINT)")), width, "0")
+    ia5 = lambda text: F.lit("".join(f"{ord(c):07b}" for c in text))
+    level = [F.lit("110"), field("n - 30", 10)]
+    up = F.concat(F.lit("100"), field("f", 6), field("20", 8), *level, F.lit("00"), field("117", 8), ia5("KZAK"), F.lit("01"), field("1000 + n * 25", 15))
+    down = F.concat(F.lit("011"), field("f", 6), field("b", 6), field("h", 5), field("m", 6), field("a % 60", 6), field("11", 8), F.lit("011"), field("a", 7), field("b", 6), field("c", 6), field("s", 1), field("e", 8), field("f", 6), field("m", 6), field("w", 1), *level)
+    plain = F.when(F.col("s") == 0, up).otherwise(down)
+    whole = F.rpad(plain, (F.ceil(F.length(plain) / 8) * 8).cast("int"), F.lit("0"))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(whole) / 8 - 1).cast("int")), lambda i: F.lpad(F.conv(F.substr(whole, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
+    head = F.lit("AT1.G-ZBKO")
+    check = F.lpad(F.hex(crc16(F.concat(text_bytes(head), hex_bytes(digits))).bitwiseXOR(0xFFFF)), 4, "0")
+    key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return keys.select(key.alias("delivery_id"), F.when(F.col("s") == 0, "BA").otherwise("AA").alias("label"), F.concat(F.lit("/OAKODYA."), head, digits, check).alias("raw_text"))
+
+
 def decode_cpdlc(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of each message, one a row, with the values of the second or only one."""
+    shape = (
+        "direction string, registration string, header struct<msg_id: bigint, msg_ref: bigint, timestamp: struct<hours: bigint, minutes: bigint, seconds: bigint>>, formatted_text string, "
+        "elements array<struct<id: bigint, label: string, text: string, data: struct<type: string, value: bigint, unit: string, frequency: struct<value: bigint>, altitude: struct<value: bigint>, position: struct<latitude: double, longitude: double>>>>"
+    )
+    rows = decode_binary(spread(_controller(spark, d)), "cpdlc").select("delivery_id", F.from_json("result", shape).alias("r")).select("delivery_id", "r.*", F.posexplode("r.elements").alias("place", "x"))
+    at = F.col("header.timestamp")
+    return rows.select(
+        "delivery_id", "place", "direction", "registration", F.col("header.msg_id").alias("msg_id"), F.col("header.msg_ref").alias("msg_ref"), (at["hours"] * 3600 + at["minutes"] * 60 + at["seconds"]).alias("seconds"), F.col("x.id").alias("element_id"),
+        F.col("x.label").alias("wording"), "formatted_text", F.coalesce("x.data.value", "x.data.altitude.value").alias("level"), F.col("x.data.frequency.value").alias("frequency"),
+        *[F.round(f"x.data.position.{c}", 6).alias(c) for c in ("latitude", "longitude")],
+    )
+
+
+def logged_cpdlc(spark: SparkSession, d: str) -> DataFrame:
     return decode_binary(table(spark, d, "messages"), "cpdlc")
 
 
@@ -254,9 +288,15 @@ def reparse_changes(spark: SparkSession, d: str) -> DataFrame:
     return reparse_diff(stored, fresh).groupBy("result_type", "change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather, "decode_cpdlc": decode_cpdlc, "dispatch_explain": dispatch_explain, "reparse_changes": reparse_changes}
+QUERIES = {n: _query(n) for n in SPECS} | {"dispatch_all": dispatch_all, "dispatch_first": dispatch_first, "decode_adsc": decode_adsc, "decode_envelope": decode_envelope, "decode_weather": decode_weather, "decode_cpdlc": decode_cpdlc, "logged_cpdlc": logged_cpdlc, "dispatch_explain": dispatch_explain, "reparse_changes": reparse_changes}
 _KEYS_SQL = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in KEYS.items())
 SQL = {n: _sql(n) for n in SPECS} | {
+    "decode_cpdlc": f"""WITH k AS (SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS delivery_id, {_KEYS_SQL} FROM lineitem),
+p AS (SELECT *, (a + b / 60.0::DOUBLE + c / 3600.0::DOUBLE) * (1 - 2 * s) AS lat, (e + f / 60.0::DOUBLE + m / 3600.0::DOUBLE) * (1 - 2 * w) AS lon, 'CLIMB TO AND MAINTAIN FL' || CAST(n AS VARCHAR) AS climb,
+  'CONTACT KZAK ' || CAST((118000 + n * 25) // 1000 AS VARCHAR) || '.' || lpad(CAST((118000 + n * 25) % 1000 AS VARCHAR), 3, '0') || ' MHz' AS contact FROM k)
+SELECT delivery_id, 0 AS place, 'uplink' AS direction, 'G-ZBKO' AS registration, f AS msg_id, CAST(NULL AS BIGINT) AS msg_ref, CAST(NULL AS BIGINT) AS seconds, 20 AS element_id, 'CLIMB TO AND MAINTAIN [altitude]' AS wording, climb || '; ' || contact AS formatted_text, n AS level, CAST(NULL AS BIGINT) AS frequency, CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude FROM p WHERE s = 0
+UNION ALL SELECT delivery_id, 1, 'uplink', 'G-ZBKO', f, NULL, NULL, 117, 'CONTACT [icaounitname] [frequency]', climb || '; ' || contact, NULL, 118000 + n * 25, NULL, NULL FROM p WHERE s = 0
+UNION ALL SELECT delivery_id, 0, 'downlink', 'G-ZBKO', f, b, h * 3600 + m * 60 + a % 60, 11, 'AT [position] REQUEST CLIMB TO [altitude]', 'AT ' || printf('%.4f', lat) || ',' || printf('%.4f', lon) || ' REQUEST CLIMB TO FL' || CAST(n AS VARCHAR), n, NULL, round(lat, 6), round(lon, 6) FROM p WHERE s = 1""",
     "decode_weather": f"""WITH k AS (SELECT l_orderkey, l_linenumber, {_KEYS_SQL} FROM lineitem)
 SELECT l_orderkey, l_linenumber, 'KDEN' AS airport, '26' || lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z' AS time, n AS wind_dir, nullif(CASE WHEN s = 0 THEN CAST(floor(b * 1.944::DOUBLE) AS BIGINT) ELSE b END, 0) AS wind_speed, '10SM' AS visibility,
 'FEW080' AS clouds, nullif(-c, 0) AS temperature, CAST(1016 AS BIGINT) AS qnh FROM k UNION ALL SELECT l_orderkey, l_linenumber, 'EGLL', '261250Z', 240, 4, '9999', 'SCT030', 10, 1000 + b FROM k""",

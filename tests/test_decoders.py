@@ -109,8 +109,63 @@ def test_long_adverse_texts(spark):
 
 def test_controller_messages():
     found = binary.controller("/SOUCAYA.AT1.HL8251243F880C3D903BB412903604FE326C2479F4A64F7F62528B1A9CF8382738186AC28B16668E013DF464D8A7F0", "AA")
-    assert found["registration"] == "HL8251" and found["direction"] == "downlink" and found["first_element"] == 48
+    assert found["registration"] == "HL8251" and found["direction"] == "downlink" and found["elements"][0]["id"] == 48 and found["header"]["msg_id"] == 8 and found["elements"][0]["label"] == "POSITION REPORT [positionreport]"
     assert found["header"] == {"msg_id": 8, "timestamp": {"hours": 15, "minutes": 56, "seconds": 32}}
     assert binary.controller("/ANCATYA.AT1.N514DN220012E8294A952882D8", "AA")["error"] == "decode_failed"
     assert binary.controller("/ANCATYA.AT1.N514DN220012E8294A952882D9", "AA")["error"] == "crc_failed"
     assert binary.controller("HELLO", "AA") is None and binary.direction("BA") == "uplink" and binary.direction("AA", "B") == "uplink" and binary.direction("BA", "5") == "downlink"
+
+
+def _packed(*fields):
+    """Bits from (value, width), a text (seven bits a letter) or a string of bits."""
+    out = "".join(f if isinstance(f, str) else f"{f[0]:0{f[1]}b}" for f in fields)
+    out += "0" * (-len(out) % 8)
+    return int(out, 2).to_bytes(len(out) // 8)
+
+
+def _letters(text):
+    return "".join(f"{ord(c):07b}" for c in text)
+
+
+HEADER = "000" + f"{9:06b}"
+FL350 = ("110", (320, 10))
+
+
+@pytest.mark.parametrize(
+    "way,fields,text,data",
+    [
+        ("uplink", [(3, 8)], "ROGER", None),
+        ("uplink", [(32, 8), *FL350, "110", (340, 10)], "DESCEND TO AND MAINTAIN BLOCK FL350 TO FL370", {"altitude1": {"type": "flight_level", "value": 350}, "altitude2": {"type": "flight_level", "value": 370}}),
+        ("uplink", [(94, 8), "1", "0", (269, 9)], "TURN right HEADING 270M", {"direction": "right", "degrees": {"magnetic": True, "value": 270}}),
+        ("uplink", [(64, 8), "0", (19, 7), (0, 4)], "OFFSET 20 nm left OF ROUTE", {"distance": 20, "unit": "nm", "direction": "left"}),
+        ("uplink", [(123, 8), (4, 3), (2, 3), (7, 3), (0, 3)], "SQUAWK 4270", {"code": "4270"}),
+        ("uplink", [(153, 8), "1", (2632, 13)], "ALTIMETER [altimeter]", {"type": "hpa", "value": 1013.2}),
+        ("uplink", [(169, 8), (5, 8), _letters("HELLO")], "HELLO", {"text": "HELLO"}),
+        ("uplink", [(171, 8), "0", (15, 6)], "CLIMB AT 1500 ft/min MINIMUM", {"value": 1500}),
+        ("uplink", [(26, 8)], "CLIMB TO REACH [altitude] BY [time]", None),
+        ("uplink", [(81, 8), (2, 2), "1", (3, 3), _letters("DEP1"), (1, 3), _letters("AB")], "CLEARED DEP1.AB", {"type": "departure", "name": "DEP1", "transition": "AB"}),
+        ("uplink", [(80, 8), "1110000100", _letters("KLAXKSFO"), (24, 6), "00", (2, 3), _letters("J501")], "CLEARED [DEP:KLAX DEST:KSFO RWY:25L AWY:J501]", None),
+        ("uplink", [(110, 8), "110", (18, 5), "110", (21, 5)], "MAINTAIN M.79 TO M.82", {"speed1": {"type": "mach", "value": 79}, "speed2": {"type": "mach", "value": 82}}),
+        ("downlink", [(57, 8), (3, 7), (20, 6), (241, 10)], "3h20m OF FUEL REMAINING AND 241 SOULS ON BOARD", {"remaining_fuel": {"hours": 3, "minutes": 20}, "persons_on_board": {"count": 241}}),
+        ("downlink", [(62, 8), (1, 3)], "ERROR logon data not accepted", {"code": 1, "description": "logon data not accepted"}),
+        ("downlink", [(78, 8), (12, 5), (30, 6), (0, 6), "0", (120, 14), "1", "000", (4, 3), _letters("DOTTY")], "AT 12:30:00 120 nm from DOTTY", None),
+        ("downlink", [(31, 8), "100", "0", (4, 3), _letters("DOTTY"), "0", (89, 9), "0", (25, 14)], "PASSING DOTTY 090/25nm", {"type": "place_bearing_distance", "name": "DOTTY", "bearing": 90, "distance": 25, "distance_unit": "nm"}),
+        ("downlink", [(48, 8), "1000100000", "000", (4, 3), _letters("DOTTY"), (1, 5), (2, 6), (3, 6), *FL350], "POSITION REPORT DOTTY at 01:02:03 FL350", None),
+        ("downlink", [(100, 8)], "(reserved)", None),
+    ],
+)
+def test_elements(way, fields, text, data):
+    from aerolith.decoders import controller
+
+    found = controller.message(_packed(HEADER, *fields), way)
+    assert found["formatted_text"] == text and found["header"] == {"msg_id": 9}
+    assert data is None or found["elements"][0]["data"] == data
+
+
+def test_elements_out_of_range_or_short():
+    from aerolith.decoders import controller
+
+    for sample, way in ((_packed(HEADER, (183, 8)), "uplink"), (_packed(HEADER, (129, 8)), "downlink"), (_packed(HEADER, (20, 8)), "uplink"), (b"", "uplink")):
+        with pytest.raises(ValueError):
+            controller.message(sample, way)
+    assert len(controller.UPLINK) == 183 and len(controller.DOWNLINK) == 81
