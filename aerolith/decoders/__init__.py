@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from aerolith.decoders import clearances, flight_plans, loadsheets, notes, reports, weather
+from aerolith.decoders import briefs, clearances, flight_plans, loadsheets, notes, reports, weather
 
-EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS, *weather.DECODERS, *loadsheets.DECODERS, *clearances.DECODERS]
+EVERY = [*reports.DECODERS, *notes.DECODERS, *flight_plans.DECODERS, *weather.DECODERS, *loadsheets.DECODERS, *clearances.DECODERS, *briefs.DECODERS]
 
 
 def registry(which: str = "default"):

@@ -127,7 +127,32 @@ def surveillance(text: str) -> dict | None:
     return record | groups(payload[:-2])
 
 
-TAILS = re.compile("|".join((r"[A-Z]{1,2}-[A-Z]{3,4}", r"B-[A-Z0-9]{3,4}", r"N[0-9]{1,5}[A-Z]{0,2}", r"JA[0-9]{3,4}[A-Z]?", r"HL[0-9]{4}", r"9[VM]-[A-Z]{3}", r"A[67]-[A-Z]{3}", r"A4O-[A-Z]{2,3}", r"VN-[A-Z][0-9]{3}")))
+# Registrations by their form, in the order in which they are tried.
+TAILS = re.compile(
+    "|".join(
+        (
+            r"[A-Z]{1,2}-[A-Z]{3,4}",
+            r"VH-[A-Z]{3}",
+            r"B-[A-Z0-9]{3,4}",
+            r"TC-[A-Z]{3}",
+            r"N[0-9]{1,5}[A-Z]{0,2}",
+            r"JA[0-9]{3,4}[A-Z]?",
+            r"HL[0-9]{4}",
+            r"9V-[A-Z]{3}",
+            r"9M-[A-Z]{3}",
+            r"A7-[A-Z]{3}",
+            r"A6-[A-Z]{3}",
+            r"A4O-[A-Z]{2,3}",
+            r"HS-[A-Z]{3}",
+            r"VN-[A-Z][0-9]{3}",
+            r"EC-[A-Z]{3}",
+            r"HB-[A-Z]{3}",
+            r"OH-[A-Z]{3}",
+            r"LN-[A-Z]{3}",
+            r"SE-[A-Z]{3}",
+        )
+    )
+)
 
 
 def envelope(text: str, tail: str | None = None) -> dict | None:
@@ -214,7 +239,7 @@ def dispatch_every(messages: DataFrame, decoders: list[Decoder], keep: tuple[str
     wrapped = F.coalesce(F.col(label_col).isin(*sorted(marked)), F.lit(False))
     plain = dispatch(messages.where(~wrapped), decoders, keep, first, text_col, label_col, places)
     text = F.trim(F.col(text_col), F.lit(" \t\r\n"))
-    rows = messages.where(wrapped).select(*keep, text.alias("__text"), F.col(label_col).alias("__label"), records(able, F.col(text_col), F.col(label_col), places).alias("some"))
+    rows = messages.where(wrapped).select(*keep, text.alias("__text"), F.col(label_col).alias("__label"), records(able, text_col, label_col, places).alias("some"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,16 @@ def degrees(digits: Column, side: Column, longitude: bool) -> Column:
     return F.coalesce(signed(value, side), F.lit(0.0))
 
 
+def onward(text: Column, start: Column | int) -> Column:
+    """A text from a place (from 1) to its end."""
+    return F.substr(text, F.lit(start) if isinstance(start, int) else start)
+
+
+def onward_items(items: Column, start: int) -> Column:
+    """An array from a place (from 1) to its end."""
+    return bind(items, lambda x: F.slice(x, F.lit(start), F.greatest(F.size(x), F.lit(0))))
+
+
 # Decoders
 
 
@@ -182,18 +193,29 @@ class Decoder:
         return F.when(label.isin(*self.labels) & there if self.labels else there, self.build(*((F.upper(raw) if self.upper else raw,) + ((label,) if self.by_label else ()))))
 
 
+_built: dict[tuple, Column] = {}
+
+
+def expression(decoder: Decoder, text_col: str, label_col: str) -> Column:
+    """A decoder's column over named columns; building one takes seconds where formats are many, so it is kept while the session's JVM lives."""
+    key = (id(SparkContext._gateway), decoder.name, text_col, label_col)
+    if key not in _built:
+        _built[key] = decoder.column(F.col(text_col), F.col(label_col))
+    return _built[key]
+
+
 def decode(messages: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("delivery_id",), text_col: str = "raw_text", label_col: str = "label") -> DataFrame:
     """The typed records of one decoder; the label filter reaches the scan."""
     rows = messages.where(F.col(label_col).isin(*decoder.labels)) if decoder.labels else messages
     # A generated column keeps the optimizer from decoding once to filter and again to project.
-    return rows.select(*keep, F.explode_outer(F.array(decoder.column(F.col(text_col), F.col(label_col)))).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
+    return rows.select(*keep, F.explode_outer(F.array(expression(decoder, text_col, label_col))).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
 
 
-def records(decoders: list[Decoder], text: Column, label: Column, places: Mapping[str, int]) -> Column:
+def records(decoders: list[Decoder], text_col: str, label_col: str, places: Mapping[str, int]) -> Column:
     """The records that the decoders make of a message, in order of priority and name, each with its decoder's place."""
 
     def tagged(d: Decoder) -> Column:
-        return bind(d.column(text, label), lambda r: F.when(r.isNotNull(), F.struct(F.lit(places[d.name]).alias("ord"), F.lit(d.name).alias("parser"), F.lit(d.kind).alias("result_type"), F.to_json(r).alias("result"))))
+        return bind(expression(d, text_col, label_col), lambda r: F.when(r.isNotNull(), F.struct(F.lit(places[d.name]).alias("ord"), F.lit(d.name).alias("parser"), F.lit(d.kind).alias("result_type"), F.to_json(r).alias("result"))))
 
     return F.array_compact(F.array(*[tagged(d) for d in sorted(decoders, key=lambda x: places[x.name])]))
 
@@ -201,7 +223,7 @@ def records(decoders: list[Decoder], text: Column, label: Column, places: Mappin
 def dispatch(messages: DataFrame, decoders: list[Decoder], keep: tuple[str, ...] = ("delivery_id",), first: bool = False, text_col: str = "raw_text", label_col: str = "label", places: Mapping[str, int] | None = None) -> DataFrame:
     """Every record that any decoder makes of a message, in order of priority and name, in one pass over the log."""
     ordered = sorted(decoders, key=lambda x: (x.priority, x.name))
-    some = records(decoders, F.col(text_col), F.col(label_col), places or {d.name: i for i, d in enumerate(ordered)})
+    some = records(decoders, text_col, label_col, places or {d.name: i for i, d in enumerate(ordered)})
     # The outer form keeps the optimizer from copying the whole array into a filter on its size.
     rows = messages.select(*keep, F.explode_outer(F.slice(some, 1, 1) if first else some).alias("r"))
     return rows.where("r IS NOT NULL").select(*keep, "r.*")

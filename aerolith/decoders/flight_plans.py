@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, bind, degrees, number, signed, text_of, to_java, whole
+from aerolith.decoders.engine import Decoder, bind, degrees, number, onward, onward_items, signed, text_of, to_java, whole
 from aerolith.decoders.notes import find, find_all, find_int, find_number, record
 from aerolith.functions.crc import sound
 
@@ -25,7 +25,7 @@ def waypoint_name(name: Column) -> Column:
 def waypoint(segment: Column) -> Column:
     """A named point with its coordinates, 0 where there are none; null if the name is none."""
     name = F.substring_index(segment, ",", 1)
-    where = F.when(segment.contains(","), F.substring(segment, F.length(name) + 2, 1000)).otherwise(F.lit(""))
+    where = F.when(segment.contains(","), onward(segment, F.length(name) + 2)).otherwise(F.lit(""))
     form = r"\A(.)(.{4,}?)([EW])(.+)\z"
     part = lambda i: F.regexp_extract(where, form, i)
     read = (F.length(where) >= 11) & where.rlike(form)
@@ -61,13 +61,13 @@ def _fpn(text: Column) -> Column:
         da, aa = section(plan, "DA"), section(plan, "AA")
         origin, destination = (F.when(F.length(x) >= 4, F.substring(x, 1, 4)) for x in (da, aa))
         listed = F.regexp_replace(section(plan, "F"), r"(?s)/(?:FN|RP|SN).*\z", "")
-        inline = F.when(F.substring(aa, 5, 2) == "..", F.substring(aa, 7, 10_000)).otherwise(F.lit(""))
+        inline = F.when(F.substring(aa, 5, 2) == "..", onward(aa, 7)).otherwise(F.lit(""))
         route = F.when(listed != "", listed).otherwise(inline)
         approach = F.substring_index(section(plan, "AP"), "/", 1)
         first = F.trim(F.substring_index(F.substring_index(approach, "..", 1), ",", 1))
         spaced = F.locate(" ", first) > 1
         kind = F.regexp_extract(first, rf"\A({'|'.join(APPROACHES)})", 1)
-        after = F.substring(first, F.length(kind) + 1, 100)
+        after = onward(first, F.length(kind) + 1)
         kind_of = lambda k: F.when(k == "RNVY", F.lit("RNAV")).otherwise(k)
         approach_type = F.when(spaced, kind_of(F.substring_index(first, " ", 1))).when(kind != "", kind_of(kind)).otherwise(first)
         runway = F.when(spaced, F.substring_index(F.trim(F.regexp_replace(first, r"\A\S+ ", "")), ".", 1)).when(kind != "", F.regexp_extract(after, r"\A(\d\d[LRC]?)", 1))
@@ -79,7 +79,7 @@ def _fpn(text: Column) -> Column:
         full = F.struct(
             flight.alias("flight_num"), origin.alias("origin"), destination.alias("destination"), text_of(route).alias("route"), waypoints(F.split(route, r"\.\."), True).alias("waypoints"), departure.alias("departure"),
             departure_transition.alias("departure_transition"), arrival.alias("arrival"), arrival_transition.alias("arrival_transition"), text_of(first).alias("approach"), text_of(approach_type).alias("approach_type"),
-            text_of(runway).alias("approach_runway"), text_of(approach).alias("approach_route"), waypoints(F.slice(F.split(approach, r"\.\."), 2, 1000), False).alias("approach_waypoints"), F.nullif(truncated(text, route), F.lit(False)).alias("truncated"),
+            text_of(runway).alias("approach_runway"), text_of(approach).alias("approach_route"), waypoints(onward_items(F.split(approach, r"\.\."), 2), False).alias("approach_waypoints"), F.nullif(truncated(text, route), F.lit(False)).alias("truncated"),
         )
         return F.when(origin.isNotNull() & destination.isNotNull(), full)
 
@@ -109,12 +109,12 @@ def _layer(data: Column) -> Column:
 
 
 def _pwi(text: Column) -> Column:
-    body = F.regexp_replace(F.substring(text, F.locate("PWI/", text) + 4, 1_000_000), r"\r?\n", "")
+    body = F.regexp_replace(onward(text, F.locate("PWI/", text) + 4), r"\r?\n", "")
 
     def made(parts: Column) -> Column:
         last = lambda mark: F.element_at(F.filter(parts, lambda p: p.startswith(mark)), -1)
-        data = lambda mark: F.substring(F.when(F.exists(parts, lambda p: p.startswith(mark)), last(mark)), 3, 1_000_000)
-        layers = F.filter(F.transform(F.filter(parts, lambda p: p.startswith("WD")), lambda p: _layer(F.substring(p, 3, 1_000_000))), lambda x: x.isNotNull())
+        data = lambda mark: onward(F.when(F.exists(parts, lambda p: p.startswith(mark)), last(mark)), 3)
+        layers = F.filter(F.transform(F.filter(parts, lambda p: p.startswith("WD")), lambda p: _layer(onward(p, 3))), lambda x: x.isNotNull())
         return record(
             "climb_winds", "descent_winds", "route_winds", report_time=text_of(F.substring_index(data("TS"), ",", 1)), climb_winds=_altitude_winds(data("CB")), descent_winds=_altitude_winds(data("DD")), route_winds=F.when(F.size(layers) > 0, layers)
         )

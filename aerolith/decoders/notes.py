@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, bind, count_of, number, text_of, to_java, unless_zero, whole
+from aerolith.decoders.engine import Decoder, bind, count_of, number, onward, text_of, to_java, unless_zero, whole
 
 
 def find(t: Column, pattern: str, group: int = 1) -> Column:
@@ -76,7 +76,7 @@ def _dispatch(t: Column) -> Column:
     mel = find(t, r"MEL,?\s*CDL,?\s*SDL\s*REF:\s*([A-Z0-9-]+)")
     fuel = t.contains("FUEL") & (t.contains("MRF") | t.contains("MIN TO FUEL"))
     category = F.when(fuel, F.lit("FUEL")).when(find(t, r"SIGMET\s+([A-Z]\d+)").isNotNull(), F.lit("SIGMET")).when(mel.isNotNull(), F.lit("MEL")).when(t.contains("AMND FLT PLAN") | t.contains("AMEND"), F.lit("AMEND"))
-    content = F.trim(F.substring(t, F.locate("DISPATCHER MSG", t) + 14, 1_000_000), F.lit(" \t\r\n"))
+    content = F.trim(onward(t, F.locate("DISPATCHER MSG", t) + 14), F.lit(" \t\r\n"))
     return record(
         flight_number=F.coalesce(find(t, b), find(t, a)), tail=F.coalesce(find(t, b, 2), find(t, a, 2)), ack_required=t.contains("PLEASE ACK"), category=category, mel_ref=mel, mddr_number=find(t, r"MDDR\s*#?:?\s*=?\s*(\d+)"),
         dispatcher_id=find(t, desk), timestamp=find(t, desk, 3), content=text_of(F.when(F.octet_length(content) > 500, F.concat(F.substring(content, 1, 500), F.lit("..."))).otherwise(content)),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerolith.decoders.engine import Decoder, Format, bind, count_of, decimal, degrees, first_of, number, signed, text_of, whole
+from aerolith.decoders.engine import Decoder, Format, bind, count_of, decimal, degrees, first_of, number, onward, onward_items, signed, text_of, whole
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -61,7 +61,7 @@ def _rich(g) -> Column:
         n = F.size(f)
         at = lambda i: F.when(n >= 5, F.coalesce(F.get(f, F.lit(i)), F.lit("")))
         four = lambda i: F.when(F.length(at(i)) == 4, at(i))
-        tail = F.transform(F.slice(f, 9, 1000), lambda x: F.trim(x))
+        tail = F.transform(onward_items(f, 9), lambda x: F.trim(x))
         name = lambda x: x.rlike("[A-Za-z]") & F.length(x).between(2, 7)
         after = lambda i: F.coalesce(F.get(tail, i + 1), F.lit(""))
         pairs = F.filter(F.transform(tail, lambda x, i: F.when(name(x), F.struct(x.alias("name"), F.when(after(i).rlike(r"\A[0-9]{4}\z"), after(i)).alias("eta")))), lambda x: x.isNotNull())
@@ -340,7 +340,7 @@ def _fst(t: Column) -> Column:
             ground_speed=F.when((speed > 0) & (speed < 1000), speed), temperature=F.nullif(F.when(sign == "M", -temp).otherwise(temp), zero), raw_data=text_of(rest),
         )
 
-    begun = F.when(t.contains("FST"), F.substring(t, F.locate("FST", t), 1_000_000)).otherwise(t)
+    begun = F.when(t.contains("FST"), onward(t, F.locate("FST", t))).otherwise(t)
     return bind(
         begun,
         lambda b: Format("fst_5digit_lon", r"FST(?P<seq>\d{2})(?P<origin>{ICAO})(?P<dest>{ICAO})(?P<lat_dir>{LAT_DIR})(?P<lat>\d{5,6})(?P<lon_dir>{LON_DIR})(?P<lon>\d{5})(?P<rest>\d.+)").captures(b, made),
@@ -374,7 +374,7 @@ ETA = [
 
 def _h2(t: Column) -> Column:
     form = r"(\d{1,3})([MP])(\d{1,3})(?:(\d{3})(\d{2,3})(G)?)?"
-    rest = F.substring(t, 37, 1_000_000)
+    rest = onward(t, 37)
     every = lambda i: F.regexp_extract_all(rest, F.lit(form), i)
     zero = F.lit(0).cast("bigint")
     layers = F.transform(

@@ -33,14 +33,15 @@ PLAIN = (f"(a + b / 100.0::DOUBLE) * {SIDE['lat']}", f"(e + f / 100.0::DOUBLE) *
 P_LAT, P_LON = f"CAST(a AS STRING) || '.' || {D2('b')}", f"CAST(e AS STRING) || '.' || {D2('f')}"
 
 # name: (decoder, label, the text as Spark SQL, {field: the value as the other engine's SQL})
-SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
+# Each: decoder, label, the text, and the columns with their SQL; lists are compared as text, by a pair of expressions over the record and over the keys.
+SPECS: dict[str, tuple[str, str, str, dict[str, str | tuple[str, str]]]] = {
     "decode_sq": (
         "sq", "SQ", f"'02XAORDKORD0' || {D2('a')} || {D2('b')} || {LAT} || {D3('e')} || {D2('f')} || {LON} || 'V136' || {D3('n')} || '/ARINC'",
         {"icao_code": "'KORD'", "latitude": f"(a + b / 60.0::DOUBLE) * {SIDE['lat']}", "longitude": f"(e + f / 60.0::DOUBLE) * {SIDE['lon']}", "freq_mhz": "(136000 + n) / 1000.0::DOUBLE"},
     ),
     "decode_label10": (
         "label10", "10", f"'/' || {LAT} || {P_LAT} || '/' || {LON} || {P_LON} || '/10/0.72/' || {D3('n')} || '/' || {D3('g')} || '/KISM/' || {D2('h')} || {D2('m')} || '/0064/00015/ZIZZI/TBONN/1831'",
-        {"latitude": PLAIN[0], "longitude": PLAIN[1], "mach": "0.72::DOUBLE", "heading": "n", "flight_level": "g", "destination": "'KISM'", "eta": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0')", "fuel": "64", "distance": "15"},
+        {"latitude": PLAIN[0], "longitude": PLAIN[1], "mach": "0.72::DOUBLE", "heading": "n", "flight_level": "g", "destination": "'KISM'", "eta": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0')", "fuel": "64", "distance": "15", "points": ('to_json(waypoints)', '\'[{"name":"ZIZZI"},{"name":"TBONN","eta":"1831"}]\'')},
     ),
     "decode_label16": (
         "label16", "16", f"{D2('h')} || {D2('m')} || '00,' || CAST(g * 100 AS STRING) || ',' || CAST(n AS STRING) || ',' || CAST(e AS STRING) || ',' || {LAT} || ' 1' || {P_LAT} || ',' || {LON} || {P_LON}",
@@ -72,7 +73,7 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     ),
     "decode_labelb2": (
         "labelb2", "B2", f"'QFA' || CAST(n AS STRING) || ' CLRD TO KLAX VIA ' || {D2('a')} || 'S' || {D3('e')} || 'W F' || {D3('g')} || ' M084'",
-        {"flight_num": "'QFA' || n", "destination": "'KLAX'", "flight_level": "'FL' || g", "mach": "'M84'"},
+        {"flight_num": "'QFA' || n", "destination": "'KLAX'", "flight_level": "'FL' || g", "mach": "'M84'", "fixes": ("array_join(oceanic_fixes, ';')", "lpad(CAST(a AS VARCHAR), 2, '0') || 'S' || lpad(CAST(e AS VARCHAR), 3, '0') || 'W'")},
     ),
     "decode_labelb3": (
         "labelb3", "B3", "'UAL' || CAST(n AS STRING) || '-KSFO-GATE B' || CAST(h AS STRING) || '-KLAX ATIS C -TYP/B' || CAST(g AS STRING)",
@@ -100,7 +101,7 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     ),
     "decode_h2wind": (
         "h2wind", "H2", f"'02A291829EDDKLSZH' || {LAT} || {D2('a')} || {D2('b')} || c || {LON} || {D3('e')} || {D2('f')} || c || '291829 ' || {D3('g')} || 'M05 ' || {D3('n')} || 'P02'",
-        {"origin": "'EDDK'", "destination": "'LSZH'", "latitude": f"nullif({TENTHS[0]}, 0)", "longitude": f"nullif({TENTHS[1]}, 0)", "report_time": "'291829'"},
+        {"origin": "'EDDK'", "destination": "'LSZH'", "latitude": f"nullif({TENTHS[0]}, 0)", "longitude": f"nullif({TENTHS[1]}, 0)", "report_time": "'291829'", "layers": ('to_json(wind_layers)', '\'[{"flight_level":\' || g || \',"temperature":-5,"gusting":false},{"flight_level":\' || n || \',"temperature":2,"gusting":false}]\'')},
     ),
     "decode_mediaadv": (
         "mediaadv", "SA", f"'0' || CASE WHEN s = 0 THEN 'E' ELSE 'L' END || 'S' || {D2('h')} || {D2('m')} || {D2('b')} || 'V2/TEXT ' || CAST(n AS STRING)",
@@ -109,19 +110,19 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     "decode_gate": ("gateassign", "RA", "'PLEASE NOTE\\nGATE ASSIGNMENT: B' || CAST(n AS STRING)", {"gate": "'B' || n"}),
     "decode_fpn": (
         "fpn", "H1", f"'FPN/SN' || CAST(n AS STRING) || '/FNAAL' || CAST(n AS STRING) || ':DA:KJFK:AA:KLAX:D:VUM' || c || '.GUKEB:A:VES7.VED:F:MERIT,N' || {D2('a')} || {D2('b')} || c || 'W' || {D3('e')} || {D2('f')} || c || '..DIXIE:AP:ILS' || {D2('h')} || 'L/ZE'",
-        {"flight_num": "'AAL' || n", "origin": "'KJFK'", "destination": "'KLAX'", "departure": "'VUM' || c", "departure_transition": "'GUKEB'", "arrival": "'VES7'", "arrival_transition": "'VED'", "approach_type": "'ILS'", "approach_runway": "lpad(CAST(h AS VARCHAR), 2, '0') || 'L'", "truncated": "CAST(NULL AS BOOLEAN)"},
+        {"flight_num": "'AAL' || n", "origin": "'KJFK'", "destination": "'KLAX'", "departure": "'VUM' || c", "departure_transition": "'GUKEB'", "arrival": "'VES7'", "arrival_transition": "'VED'", "approach_type": "'ILS'", "approach_runway": "lpad(CAST(h AS VARCHAR), 2, '0') || 'L'", "truncated": "CAST(NULL AS BOOLEAN)", "points": ("array_join(transform(waypoints, w -> concat_ws('/', w.name, if(w.latitude IS NULL, NULL, format_string('%.4f', abs(w.latitude))), if(w.longitude IS NULL, NULL, format_string('%.4f', abs(w.longitude))))), ';')", "'MERIT/' || CASE WHEN a + b + c = 0 THEN '' ELSE printf('%.4f', a + (b + c / 10.0::DOUBLE) / 60.0::DOUBLE) || '/' END || CASE WHEN e + f + c = 0 THEN '' ELSE printf('%.4f', e + (f + c / 10.0::DOUBLE) / 60.0::DOUBLE) END || ';DIXIE'")},
     ),
-    "decode_pwi": ("pwi", "H1", f"'PWI/TS' || {D2('h')} || {D2('m')} || '00,050625/CB' || {D3('g')} || {D3('n')} || '026/WD370,MERIT,270050,350M52.DIXIE,271051,350M53'", {"report_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || '00'"}),
+    "decode_pwi": ("pwi", "H1", f"'PWI/TS' || {D2('h')} || {D2('m')} || '00,050625/CB' || {D3('g')} || {D3('n')} || '026/WD370,MERIT,270050,350M52.DIXIE,271051,350M53'", {"report_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || '00'", "climb_winds": ('to_json(climb_winds)', '\'[{"flight_level":\' || g || \',"wind_dir":\' || n || \',"wind_speed":26}]\''), "route_winds": ('to_json(route_winds)', '\'[{"flight_level":370,"waypoints":[{"waypoint":"MERIT","wind_dir":270,"wind_speed":50,"temperature":-52},{"waypoint":"DIXIE","wind_dir":271,"wind_speed":51,"temperature":-53}]}]\'')}),
     "decode_trajectory": (
         "trajectory", "H1", f"'++86501,N' || CAST(n AS STRING) || ',B7377,261125,WN' || {D4('g')} || ',KDAL,KHOU,' || CAST(g AS STRING) || ',TS-1\nN' || {D2('a')} || {D2('b')} || '.' || c || ',W' || {D3('e')} || {D2('f')} || '.' || c || ',120918,39000,-64.3,256,037,CL,00000,0,\n'",
-        {"registration": "'N' || n", "aircraft_type": "'B7377'", "flight_number": "'WN' || lpad(CAST(g AS VARCHAR), 4, '0')", "origin": "'KDAL'", "destination": "'KHOU'", "distance": "g", "system_id": "'TS-1'"},
+        {"registration": "'N' || n", "aircraft_type": "'B7377'", "flight_number": "'WN' || lpad(CAST(g AS VARCHAR), 4, '0')", "origin": "'KDAL'", "destination": "'KHOU'", "distance": "g", "system_id": "'TS-1'", "places": ("array_join(transform(positions, p -> concat_ws('/', format_string('%.4f', abs(p.latitude)), format_string('%.4f', abs(p.longitude)), p.time, p.altitude, p.temperature, p.heading, p.speed, p.phase)), ';')", "printf('%.4f', a + (b + c / 10.0::DOUBLE) / 60.0::DOUBLE) || '/' || printf('%.4f', e + (f + c / 10.0::DOUBLE) / 60.0::DOUBLE) || '/120918/39000/-64.3/256/37/CL'")},
     ),
-    "decode_mdc": ("mdc", "H1", f"'MDC REPORT: FAULT HISTORY\nTIME: ' || {D2('h')} || ':' || {D2('m')} || '\nLEG: ' || CAST(n AS STRING) || '\nATA46-22 NAV SENSOR\n'", {"report_type": "'FAULT HISTORY'", "time": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')", "leg_number": "CAST(n AS VARCHAR)"}),
+    "decode_mdc": ("mdc", "H1", f"'MDC REPORT: FAULT HISTORY\nTIME: ' || {D2('h')} || ':' || {D2('m')} || '\nLEG: ' || CAST(n AS STRING) || '\nATA46-22 NAV SENSOR\n'", {"report_type": "'FAULT HISTORY'", "time": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')", "leg_number": "CAST(n AS VARCHAR)", "faults": ('to_json(faults)', '\'[{"ata":"46-22","system":"NAV SENSOR"}]\'')}),
     "decode_delay": (
         "delay", "3E", f"'DELAY SUMMARY\nAY' || CAST(n AS STRING) || '/26NOV2025 HEL-CDG\nSTD ' || {D2('h')} || ':' || {D2('m')} || ' ATD 10:13 DEP DELAY ' || CAST(b AS STRING) || ' MIN\nARR DELAY ' || CAST(f AS STRING) || ' MIN\nDL93/' || CAST(b AS STRING) || 'MIN'",
-        {"flight_number": "'AY' || n", "flight_date": "'26NOV2025'", "origin": "'HEL'", "destination": "'CDG'", "std": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')", "atd": "'10:13'", "dep_delay_minutes": "b", "arr_delay_minutes": "f"},
+        {"flight_number": "'AY' || n", "flight_date": "'26NOV2025'", "origin": "'HEL'", "destination": "'CDG'", "std": "lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')", "atd": "'10:13'", "dep_delay_minutes": "b", "arr_delay_minutes": "f", "delay_codes": ('to_json(delay_codes)', '\'[{"code":"DL93"\' || \',"minutes":\' || b || \'}]\'')},
     ),
-    "decode_crew": ("crew", "RA", "'CREW LIST UA' || CAST(n AS STRING) || '/26 KSFO KLAX.\nCA SMITH JOHN \n U' || CAST(g AS STRING) || '\nFA MIN: ' || CAST(1 + c AS STRING)", {"flight_number": "'UA' || n", "flight_date": "'26'", "origin": "'KSFO'", "destination": "'KLAX'", "min_crew": "1 + c"}),
+    "decode_crew": ("crew", "RA", "'CREW LIST UA' || CAST(n AS STRING) || '/26 KSFO KLAX.\nCA SMITH JOHN \n U' || CAST(g AS STRING) || '\nFA MIN: ' || CAST(1 + c AS STRING)", {"flight_number": "'UA' || n", "flight_date": "'26'", "origin": "'KSFO'", "destination": "'KLAX'", "min_crew": "1 + c", "crew": ('to_json(cockpit_crew)', '\'[{"position":"CA","name":"SMITH JOHN","employee_id":"U\' || g || \'"}]\'')}),
     "decode_dispatch": (
         "dispatch", "RA", "'DISPATCHER MSG\nASA' || CAST(n AS STRING) || ' N' || CAST(g AS STRING) || 'AS\n' || CASE WHEN s = 0 THEN 'MIN TO FUEL' ELSE 'SIGMET A' || c END",
         {"flight_number": "'ASA' || n", "tail": "'N' || g || 'AS'", "ack_required": "false", "category": "CASE WHEN s = 0 THEN 'FUEL' ELSE 'SIGMET' END", "mel_ref": "CAST(NULL AS VARCHAR)"},
@@ -141,9 +142,9 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     ),
     "decode_paxconn": (
         "paxconn", "3E", f"'PAX CONN STATUS\nAB' || CAST(n AS STRING) || ' 26112025 10:00 LHR\nPENDING Y ' || CAST(b AS STRING) || ' 3\n' || repeat('-', 32) || '\nAB124 26112025 11:00 CDG\nWILLWAIT Y ' || CAST(f AS STRING) || ' 1'",
-        {"missed_count": "0", "pending_count": "b", "will_wait_count": "f", "total_connecting": "b + f"},
+        {"missed_count": "0", "pending_count": "b", "will_wait_count": "f", "total_connecting": "b + f", "connections": ("array_join(transform(connections, x -> concat_ws('/', x.flight_number, x.date, x.time, x.destination, x.decision, x.class, x.passengers, x.bags)), ';')", "'AB' || n || '/26112025/10:00/LHR/PENDING/Y/' || b || '/3;AB124/26112025/11:00/CDG/WILLWAIT/Y/' || f || '/1'")},
     ),
-    "decode_takeoff": ("takeoff", "RA", "'TAKEOFF DATA GTOW / CG PAX\n ' || CAST(g AS STRING) || '.3/25.1 ' || CAST(n AS STRING) || '\nT/O KPDX 10R'", {"gtow": "g + 0.3::DOUBLE", "cg": "25.1::DOUBLE", "pax": "n"}),
+    "decode_takeoff": ("takeoff", "RA", "'TAKEOFF DATA GTOW / CG PAX\n ' || CAST(g AS STRING) || '.3/25.1 ' || CAST(n AS STRING) || '\nT/O KPDX 10R'", {"gtow": "g + 0.3::DOUBLE", "cg": "25.1::DOUBLE", "pax": "n", "runways": ('to_json(runways)', '\'[{"airport":"KPDX","runway":"10R"}]\'')}),
     "decode_landing": (
         "landingdata", "C1", f"'LANDING DATA DEN RW ' || {D2('h')} || 'L ' || CAST(g * 10 AS STRING) || ' FT TEMP M' || {D2('b')} || 'C ALT 30.01 WIND ' || {D3('n')} || '/12 MAG'",
         {"airport": "'DEN'", "runway": "lpad(CAST(h AS VARCHAR), 2, '0') || 'L'", "runway_length": "g * 10", "temperature": "nullif(-b, 0)", "altimeter": "30.01::DOUBLE", "wind": "lpad(CAST(n AS VARCHAR), 3, '0') || '/12'"},
@@ -154,7 +155,7 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     ),
     "decode_pdc": (
         "pdc", "RA", f"'PDC ' || CAST(100000 + n AS STRING) || '\nJST' || CAST(n AS STRING) || ' A320 YSSY ' || {D2('h')} || {D2('m')} || '\nCLEARED TO YMML VIA\n16L ABBEY' || c || ' DEP WOL:TRAN\nROUTE: DCT WOL H65 RAZZI Q29 BOOIN DCT\nCLIMB VIA SID TO: 5000\nDEP FREQ: 123.' || {D3('n')} || '\nSQUAWK 36' || lpad(conv(CAST(f AS STRING), 10, 8), 2, '0')",
-        {"flight_number": "'JST' || n", "origin": "'YSSY'", "destination": "'YMML'", "departure_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0')", "runway": "'16L'", "sid": "'ABBEY' || c", "departure_freq": "'123.' || n", "initial_altitude": "'5000'", "route": "'DCT WOL H65 RAZZI Q29 BOOIN DCT'", "squawk": "'36' || (f // 8) || (f % 8)", "pdc_format": "'australian'"},
+        {"flight_number": "'JST' || n", "origin": "'YSSY'", "destination": "'YMML'", "departure_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0')", "runway": "'16L'", "sid": "'ABBEY' || c", "departure_freq": "'123.' || n", "initial_altitude": "'5000'", "route": "'DCT WOL H65 RAZZI Q29 BOOIN DCT'", "squawk": "'36' || (f // 8) || (f % 8)", "pdc_format": "'australian'", "points": ("array_join(route_waypoints, ' ')", "'WOL RAZZI BOOIN'")},
     ),
     "decode_loadsheet": (
         "loadsheet", "C1", f"'LOADSHEET FINAL ' || {D2('h')} || {D2('m')} || ' EDNO' || c || '\nLX' || CAST(n AS STRING) || '/26 26NOV25\nZRH LHR HB-JCA 2/4\nZFW ' || CAST(39000 + n AS STRING) || ' MAX 50000\nTOF ' || CAST(g * 10 AS STRING) || '\nTOW ' || CAST(44000 + n AS STRING) || ' MAX 60000\n' || CASE WHEN s = 0 THEN 'TIF 2000\nLAW 42554 MAX 52000\nPAX/10/55 TTL ' || CAST(n AS STRING) ELSE '' END",
@@ -162,7 +163,17 @@ SPECS: dict[str, tuple[str, str, str, dict[str, str]]] = {
     ),
     "decode_atis": (
         "atis", "A9", f"'/HKGATYA.TI2/VHHH ARR ATIS G\n' || {D2('h')} || {D2('m')} || 'Z WIND ' || {D3('n')} || '/10KT VIS 10KM CLD FEW 2000FT T ' || CASE WHEN s = 0 THEN 'MS ' ELSE '' END || {D2('c')} || ' DP 20 QNH ' || CAST(1000 + c AS STRING) || 'HPA RWY 07C ILS APCH.'",
-        {"airport": "'VHHH'", "atis_letter": "'G'", "atis_type": "'ARR'", "atis_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z'", "wind": "n || '/10KT'", "visibility": "'10KM'", "temperature": "CASE WHEN s = 0 THEN '-' ELSE '' END || lpad(CAST(c AS VARCHAR), 2, '0')", "dew_point": "'20'", "qnh": "CAST(1000 + c AS VARCHAR)"},
+        {"airport": "'VHHH'", "atis_letter": "'G'", "atis_type": "'ARR'", "atis_time": "lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') || 'Z'", "wind": "n || '/10KT'", "visibility": "'10KM'", "temperature": "CASE WHEN s = 0 THEN '-' ELSE '' END || lpad(CAST(c AS VARCHAR), 2, '0')", "dew_point": "'20'", "qnh": "CAST(1000 + c AS VARCHAR)", "runways": ('to_json(runways)', '\'["07C"]\''), "approaches": ('to_json(approaches)', '\'["ILS APCH"]\'')},
+    ),
+    "decode_label44": (
+        "label44", "44",
+        f"CASE WHEN s = 0 THEN 'YSSY T/O RWYS,16 ' || CAST(1001 + n * 10 AS STRING) || '\n34/AA  X  ' || CAST(1000 + n AS STRING) || '\n  NOTAM ' || CAST(g AS STRING) || '\n07  ' || CAST(1000 + g AS STRING) WHEN w = 0 THEN '/FB 0' || c || '/AD YSSY/' || {LAT} || ' ' || {P_LAT} || ',W ' || {P_LON} || ',QFA' || CAST(n AS STRING) || ',INA0' || c || ',YMML,' || {D2('h')} || {D2('m')} ELSE 'POS01,S' || {D2('a')} || {D2('b')} || c || 'E' || {D3('e')} || {D2('f')} || c || ',' || {D3('g')} || ',YSSY,YMML,' || {D2('h')} || {D2('m')} || ',1530' END",
+        {
+            "message_type": "CASE WHEN s = 0 THEN 'runway' WHEN w = 0 THEN 'fb' ELSE 'pos' END", "airport": "CASE WHEN s = 0 OR w = 0 THEN 'YSSY' END", "flight_level": "CASE WHEN s = 1 AND w = 1 THEN g END", "origin": "CASE WHEN s = 1 AND w = 1 THEN 'YSSY' END", "destination": "CASE WHEN s = 1 THEN 'YMML' END",
+            "callsign": "CASE WHEN s = 1 AND w = 0 THEN 'QFA' || n END", "raw_data": "CASE WHEN s = 1 AND w = 0 THEN 'INA0' || c END", "report_time": "CASE WHEN s = 1 THEN lpad(CAST(h AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') END",
+            "latitude": "CASE WHEN s = 1 THEN nullif(CASE WHEN w = 0 THEN -(a + b / 100.0::DOUBLE) ELSE -(a + (b + c / 10.0::DOUBLE) / 60.0::DOUBLE) END, 0) END", "longitude": "CASE WHEN s = 1 THEN nullif(CASE WHEN w = 0 THEN -(e + f / 100.0::DOUBLE) ELSE e + (f + c / 10.0::DOUBLE) / 60.0::DOUBLE END, 0) END",
+            "runways": ("to_json(runways)", "CASE WHEN s = 0 THEN '[{\"runway\":\"16\",\"distance\":' || (1001 + n * 10) || '},{\"runway\":\"34\",\"suffix\":\"AA\",\"distance\":' || (1000 + n) || '},{\"runway\":\"07\",\"distance\":' || (1000 + g) || '}]' END"), "procedures": ("array_join(procedures, ';')", "CASE WHEN s = 0 THEN 'NOTAM ' || g END"),
+        },
     ),
 }
 
@@ -177,7 +188,9 @@ def _query(name: str):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = decode(written(spark, d, text, label), BY_NAME[decoder], keep=("l_orderkey", "l_linenumber"))
-        return rows.select("l_orderkey", "l_linenumber", *[F.round(n, 6).alias(n) if dict(rows.dtypes)[n] == "double" else F.col(n) for n in fields])
+        kinds = dict(rows.dtypes)
+        shown = [F.expr(e[0]).alias(n) if isinstance(e, tuple) else F.round(n, 6).alias(n) if kinds[n] == "double" else F.col(n) for n, e in fields.items()]
+        return rows.select("l_orderkey", "l_linenumber", *shown)
 
     return run
 
@@ -186,7 +199,8 @@ def _sql(name: str) -> str:
     fields = SPECS[name][3]
     keys = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in KEYS.items())
     typed = lambda e: f"CAST({e} AS BIGINT)" if re.fullmatch(r"-?\d+|CASE WHEN s = 0 THEN \d+ END", e) else e
-    shown = ", ".join(f"round({e}, 6) + 0.0::DOUBLE AS {n}" if "::DOUBLE" in e else f"{typed(e)} AS {n}" for n, e in fields.items())
+    fields = {n: e[1] if isinstance(e, tuple) else e for n, e in fields.items()}
+    shown = ", ".join(f"round({e}, 6) + 0.0::DOUBLE AS {n}" if "::DOUBLE" in e and "printf" not in e else f"{typed(e)} AS {n}" for n, e in fields.items())
     kept = " WHERE e + f + a + b + c > 0" if name == "decode_label4j" else ""
     return f"SELECT l_orderkey, l_linenumber, {shown} FROM (SELECT l_orderkey, l_linenumber, {keys} FROM lineitem){kept}"
 

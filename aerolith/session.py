@@ -17,6 +17,7 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else each column records where it was made
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
