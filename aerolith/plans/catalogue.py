@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from aerolith.plans import decode, log, problems, streams
+from aerolith.plans import decode, log, problems, state, streams
 
-QUERIES: dict = {**log.QUERIES, **decode.QUERIES, **streams.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**log.SQL, **decode.SQL, **streams.SQL, **problems.SQL}
+QUERIES: dict = {**log.QUERIES, **state.QUERIES, **decode.QUERIES, **streams.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**log.SQL, **state.SQL, **decode.SQL, **streams.SQL, **problems.SQL}
 
 
 def flagship(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.operators import extract, folds, routes, search, stats
+from aerolith.plans import fixed
 from aerolith.sources import ingest
 from aerolith.sources.tables import table
 
@@ -327,8 +328,7 @@ def _whole_sql(key: str) -> str:
 
 
 def _airport_sql(key: str) -> str:
-    words = ", ".join(f"'{w}'" for w in extract.NOT_AIRPORTS)
-    return f"CASE WHEN regexp_full_match({_text_sql(key)}, '[A-Z]{{4}}') AND {_text_sql(key)} NOT IN ({words}) THEN {_text_sql(key)} END"
+    return f"CASE WHEN {fixed.valid(_text_sql(key))} THEN {_text_sql(key)} END"
 
 
 _PREFIX = "regexp_extract(trim(f), '^[^0-9]*')"
@@ -345,10 +345,14 @@ def extract_flight_updates(spark, d):
     return extract.flight_updates(_log(spark, d))
 
 
+_LISTED = """SELECT delivery_id, unnest(CASE WHEN json_type(p) = 'OBJECT' THEN [CAST(p AS JSON)] ELSE json_extract(p, '$[*]') END) AS w FROM (
+SELECT delivery_id, CASE WHEN json_type(j, '$.waypoints') = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(j, '$.waypoints')) THEN json_extract_string(j, '$.waypoints') END ELSE CAST(json_extract(j, '$.waypoints') AS VARCHAR) END AS p
+FROM (SELECT delivery_id, parsed_json AS j FROM messages WHERE json_valid(parsed_json)))"""
+
+
 @query(
-    """SELECT delivery_id, json_extract_string(w, '$.name') AS name, CAST(json_extract_string(w, '$.latitude') AS DOUBLE) AS latitude, CAST(json_extract_string(w, '$.longitude') AS DOUBLE) AS longitude
-FROM (SELECT delivery_id, unnest(json_extract(parsed_json, '$.waypoints[*]')) AS w FROM messages WHERE json_valid(parsed_json) AND contains(parsed_json, '"waypoints":['))
-WHERE json_extract_string(w, '$.name') <> '' AND CAST(json_extract_string(w, '$.latitude') AS DOUBLE) <> 0 AND CAST(json_extract_string(w, '$.longitude') AS DOUBLE) <> 0"""
+    f"""SELECT * FROM (SELECT delivery_id, json_extract_string(w, '$.name') AS name, TRY_CAST(json_extract_string(w, '$.latitude') AS DOUBLE) AS latitude, TRY_CAST(json_extract_string(w, '$.longitude') AS DOUBLE) AS longitude FROM ({_LISTED})
+UNION ALL SELECT delivery_id, {_text_sql('waypoint')}, {_number_sql('latitude')}, {_number_sql('longitude')} FROM (SELECT delivery_id, {_J} AS j FROM messages)) WHERE name <> '' AND latitude <> 0 AND longitude <> 0"""
 )
 def extract_waypoints(spark, d):
     return extract.waypoint_updates(_log(spark, d))

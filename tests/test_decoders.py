@@ -169,3 +169,49 @@ def test_elements_out_of_range_or_short():
         with pytest.raises(ValueError):
             controller.message(sample, way)
     assert len(controller.UPLINK) == 183 and len(controller.DOWNLINK) == 81
+
+
+def test_airport_codes(spark):
+    from pyspark.sql import functions as F
+
+    from aerolith.functions import codes
+
+    assert len(codes.NOT_AIRPORTS) == 105 and len(codes.PREFIXES) == 273
+    rows = spark.createDataFrame([(c,) for c in ("KJFK", "EGLL", "TIME", "GJWO", "EGGX", "kjfk", "KJF", "KJFKX", "", None)], "c string")
+    assert [r.v for r in rows.select(codes.valid(F.col("c")).alias("v")).collect()] == [True, True, *[False] * 8]
+
+
+def test_free_text(spark):
+    from pyspark.sql import functions as F
+
+    from aerolith.functions import codes
+
+    cases = [
+        ("PDC 123 ASA329 B738 KSEA CLRD TO KORD VIA HAROB6 SQUAWK 3670 DEP FREQ 123.75 CLIMB VIA SID TO 5000", {"flight_number": "ASA329", "destination": "KORD", "sid": "HAROB6", "squawk": "3670", "frequency": "123.75", "altitude": "5000"}),
+        ("FLT 329 DEPART KSEA ARR KPDX RWY 16L ATIS C EXP 350 10 MIN", {"flight_number": "329", "origin": "KSEA", "destination": "KPDX", "runway": "16L", "atis": "C", "flight_level": "FL350"}),
+        ("ROUTE KORD-KJFK SANEG TWO DEP B738/L", {"origin": "KORD", "destination": "KJFK", "sid": "SANEG2", "aircraft_type": "B738"}),
+        ("A32AD8 8C3323 nothing here", {"flight_number": None, "origin": None, "destination": None}),
+        ("", {"flight_number": None}),
+    ]
+    made = codes.free_text(F.col("t"))
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, t string").select("i", *[c.alias(n) for n, c in made.items()]).orderBy("i").collect()
+    for r, (_, expected) in zip(rows, cases):
+        assert {k: r[k] for k in expected} == expected
+
+
+def test_route_points(spark):
+    from pyspark.sql import functions as F
+
+    from aerolith.decoders.clearances import route_waypoints
+
+    text = "PDC 291826\nB738/L P1830\n310\nHAROB6 ZIZZI MERIT\nDIXIE\nCLEARED HAROB6 DEPARTURE\nLOST\nROUTE: DCT WOL H65 LEECE\nBOOIN\nCLIMB VIA SID\nSQUAWK 3670 ABC"
+    rows = spark.createDataFrame([(0, text), (1, "SQUAWK 3670"), (2, None), (3, "ROUTE " + "WOL LEECE\n" * 20_000)], "i long, t string").select("i", route_waypoints(F.col("t")).alias("w")).orderBy("i").collect()
+    assert [r.w for r in rows] == [["HAROB6", "ZIZZI", "MERIT", "DIXIE", "WOL", "LEECE", "BOOIN"], None, None, ["WOL", "LEECE"]]
+
+
+def test_points_of_any_shape(spark):
+    from aerolith.operators import extract
+
+    records = [(1, '{"waypoints": [{"name": "A", "latitude": 1, "longitude": 2}, null, {"name": "B"}]}'), (2, '{"waypoints":{"name":"C","latitude":1.5,"longitude":2}}'), (3, json.dumps({"waypoints": json.dumps([{"name": "D", "latitude": 1, "longitude": 2}])})), (4, '{"waypoint":"E","latitude":3,"longitude":4}'), (5, "broken"), (6, None)]
+    found = extract.waypoint_updates(spark.createDataFrame(records, "delivery_id long, parsed_json string")).collect()
+    assert sorted(r.name for r in found) == ["A", "C", "D", "E"]
