@@ -26,5 +26,5 @@ def spread(rows: DataFrame) -> DataFrame:
     """The rows in as many partitions as there are cores, for work that is heavy beside its input; inputs that fill the cores with scan partitions stay as they are. Only the plan's size is looked at; nothing runs."""
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return rows.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
