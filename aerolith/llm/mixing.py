@@ -26,12 +26,9 @@ from aerolith.llm.encode import token_counts
 from aerolith.session import checkpoint_dir
 
 BUCKET_ROWS = 200_000
-MAX_TARGETS = 100_000
 
 
 def _targets(targets: DataFrame) -> DataFrame:
-    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
     share = F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0))
     return (
         targets.where(F.col("source").isNotNull())
@@ -73,7 +70,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     plan = _budgets(counts, targets, total_tokens).select("source", "epochs", "left_tokens", "n_buckets")
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 11)
     keyed = (
-        counts.join(F.broadcast(plan), "source")  # at most MAX_TARGETS rows
+        counts.join(plan, "source")  # broadcast at run time while the targets are few
         .withColumn("key", key)
         .withColumn("bucket", F.floor(F.col("key") * F.col("n_buckets") / F.lit(float(1 << 53))))
     )
@@ -90,7 +87,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
         .agg(F.min(F.struct("bucket", "before")).alias("at"))
         .select("source", F.col("at.bucket").alias("cut_bucket"), F.col("at.before").alias("cut_before"))
     )
-    rows = keyed.join(F.broadcast(cut), "source", "left")  # at most one row a target
+    rows = keyed.join(cut, "source", "left")  # at most one row a target; its size decides how it is joined
     running = Window.partitionBy("source").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     inside = (
         rows.where(F.col("bucket") == F.col("cut_bucket"))

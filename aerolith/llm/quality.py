@@ -37,7 +37,6 @@ from aerolith.sources.tables import spread
 
 TEXTS, SAMPLE, LINES = 20_000, 4000, 8
 KINDS = ("list", "table", "junk")
-MAX_WORDS = 1_000_000
 AT_ONCE, CHARACTERS = 500, 2_000_000  # texts and their characters whose statistics are computed together
 
 
@@ -92,9 +91,8 @@ def weak_label(lines: list[str], x: np.ndarray) -> str | None:
 
 
 def _common(words: DataFrame) -> np.ndarray:
-    found = words.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().limit(MAX_WORDS + 1).collect()
-    if len(found) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} common words")
+    """The hashes of the given list of common words, a parameter that is small by its nature (some thousands a language) and kept as eight bytes a word."""
+    found = words.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().collect()
     return word_hashes(r.word for r in found)
 
 
@@ -169,7 +167,7 @@ def line_shares(x: np.ndarray, models: dict[str, Boosted]) -> np.ndarray:
 def judged(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, the STATISTICS, kind): kind is list, table, junk or prose, null for texts without characters."""
     common = _common(words)
-    shared = docs.sparkSession.sparkContext.broadcast((common, train(docs, common, id_col, text_col)))  # bounded by MAX_WORDS and the trees
+    shared = docs.sparkSession.sparkContext.broadcast((common, train(docs, common, id_col, text_col)))  # the word list given, and the trees
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 

@@ -14,6 +14,10 @@ them) are flagged only on positive evidence: an unknown proper prefix as the las
 word, or a text that is as long as the field of its source, where lengths pile up,
 and ends without a closing sign.
 
+Each decision names its evidence. The method's first part alone, an unknown proper
+prefix of known words as the last word, can't see texts cut behind a whole word or
+inside a number, which most cuts are; hence the counts of stops in the trie.
+
 Texts that carry a checksum are decided by it: binary payloads (the CRC over the
 ten characters of message identifier and registration and the payload) and flight
 plans with /WD (the CRC over the text without its last four digits). #M1 without
@@ -72,7 +76,8 @@ def checksum(text: str) -> bool | None:
             return bool(re.fullmatch("[0-9A-Fa-f]{4}", text[-4:])) and binascii.crc_hqx(text[:-4].encode() + bytes.fromhex(text[-4:]), 0xFFFF) == GOOD
     if m := _binary.fullmatch(text):
         rest = m[3].upper()
-        for n in (6, 5, 7, 8):
+        usual = (6, 5, 7, 8)  # lengths of registrations in the order in which they are tried, then those that a checksum of ten characters can hold
+        for n in (*usual, *(n for n in range(1, 5) if n not in usual)):
             registration, payload = rest[:n], rest[n:]
             if len(payload) >= 4 and len(payload) % 2 == 0 and re.fullmatch("[0-9A-F]+", payload):
                 head = m[2] + f".{registration}".ljust(7)[:7]
@@ -234,11 +239,13 @@ def decided(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame
     top = lengths.groupBy("source").agg(F.max(F.struct("length", "n")).alias("top"), F.sum("n").alias("rows"))
     limit = top.where("top.n >= 3 AND top.n >= 0.002 * rows").select(F.col("source").alias("s"), F.col("top.length").alias("field"))
     judged = odd.join(hint(regular), "kind", "left")
-    settled = judged.where("sound IS NOT NULL OR regular OR NOT odd").select("delivery_id", "id", "source", "kind", "length", F.col("odd").alias("cut"))
+    why = F.when(F.col("sound").isNotNull(), "checksum").when(F.col("prefix"), "prefix").otherwise("stop")
+    settled = judged.where("sound IS NOT NULL OR regular OR NOT odd").select("delivery_id", "id", "source", "kind", "length", F.col("odd").alias("cut"), F.when(F.col("odd"), why).alias("evidence"))
     rest = (
         judged.where("sound IS NULL AND NOT regular AND odd")
         .join(limit, F.col("source").eqNullSafe(F.col("s")) & (F.col("length") == F.col("field")), "left")
-        .select("delivery_id", "id", "source", "kind", "length", (F.col("prefix") | (F.col("field").isNotNull() & ~F.col("closed"))).alias("cut"))
+        .withColumn("full", F.col("field").isNotNull() & ~F.col("closed"))
+        .select("delivery_id", "id", "source", "kind", "length", (F.col("prefix") | F.col("full")).alias("cut"), F.when(F.col("prefix"), "prefix").when(F.col("full"), "length").alias("evidence"))
     )
     return settled.unionByName(rest)
 
@@ -249,10 +256,13 @@ def found(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame:
 
 
 def rates(messages: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame:
-    """One row a source: texts, cut texts, their share, and the greatest length."""
+    """One row a source: texts, cut texts, their share, the greatest length, and the cut texts by evidence."""
     return (
         decided(messages, columns)
         .where("id <> 0")
         .groupBy("source")
-        .agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"), F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_rate"), F.max("length").alias("longest"))
+        .agg(
+            F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"), F.round(F.count_if("cut") / F.count("*"), 6).alias("cut_rate"), F.max("length").alias("longest"),
+            *[F.count_if(F.col("cut") & (F.col("evidence") == e)).alias(f"by_{e}") for e in ("checksum", "prefix", "stop", "length")],
+        )
     )

@@ -216,3 +216,9 @@ def test_queries_run(spark, data, name):
     from aerolith.llm.queries import QUERIES
 
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_cuts_name_their_evidence(spark, data):
+    rows = truncation.decided(table(spark, data.replace("sf0.001", "sf0.01"), "messages")).where("cut").groupBy("evidence").count().collect()
+    found = {r["evidence"]: r["count"] for r in rows}
+    assert set(found) <= {"checksum", "prefix", "stop", "length"} and found["checksum"] > 0 and found["prefix"] > 0
