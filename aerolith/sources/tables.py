@@ -23,8 +23,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows in as many partitions as there are cores, for work that is heavy beside its input; inputs that fill the cores with scan partitions stay as they are. Only the plan's size is looked at; nothing runs."""
+    """The rows in as many partitions as there are cores, for work that is heavy beside its input; what is read in a partition a core anyhow stays as it is.
+
+    Scans are cut into parts of at least spark.sql.files.openCostInBytes until there is one a core, so the size of what is read tells; nothing runs.
+    """
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return rows.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else rows
