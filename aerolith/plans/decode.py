@@ -284,7 +284,7 @@ def decode_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 def dispatch_explain(spark: SparkSession, d: str) -> DataFrame:
     """For each decoder and format, how many of its messages pass the quick check and match."""
-    rows = explain(table(spark, d, "messages"), [x for x in registry("all") if x.formats]).select("parser", "quick_check", F.explode("formats").alias("f"))
+    rows = explain(table(spark, d, "messages"), registry("all")).select("parser", "quick_check", F.explode_outer("formats").alias("f"))  # decoders without declared formats have one row
     return rows.groupBy("parser", F.col("f.format").alias("format")).agg(F.count("*").alias("messages"), F.count_if("quick_check").alias("passed"), F.count_if("f.matched").alias("matched"))
 
 
